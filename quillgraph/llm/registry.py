@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .fingerprint import op2_fingerprint
+from .mixing import op4_mixing
 from .pii import op8_pii
+from .secret_scan import op1_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op8_pii": op8_pii}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_url_filter": op3_url_filter,
+    "op4_mixing": op4_mixing,
+    "op8_pii": op8_pii,
+}
 ORACLES = {"op3_url_filter": OP3_SQL}
