@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op2_fingerprint
 from .mixing import op4_mixing
+from .ngram_join import op10_ngram_jaccard
 from .pii import op8_pii
 from .secret_scan import op1_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
     "op8_pii": op8_pii,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES = {"op3_url_filter": OP3_SQL}
