@@ -98,16 +98,16 @@ def validate_tables(entities: list[EntityTable], relations: list[RelationTable],
             raise InvalidIdentity(f"{r['bad_ids']} malformed identifiers")
         if r["nulls"]:
             raise InvalidTable("null in a required property")
-    if entities:
-        ids = reduce(DataFrame.union, [t.rows.select("entity_id") for t in entities])
-        if has_rows(duplicates(ids, "entity_id")):
+    tagged = [t.rows.select(F.col("entity_id").alias("v"), F.lit(1).alias("k")) for t in entities]
+    tagged += [t.rows.select(exact(c).alias("v"), F.lit(0).alias("k")) for t in relations for c in t.rows.columns]
+    if tagged:
+        # one grouping finds both: an id that is there twice, and an endpoint that is no id
+        times = reduce(DataFrame.union, tagged).groupBy("v").agg(F.sum("k").alias("times"))
+        got = times.agg(F.max("times").alias("most"), F.min("times").alias("least")).first()
+        if (got["most"] or 0) > 1:
             raise InvalidTable("duplicate entity id")
-        if relations:
-            ends = reduce(DataFrame.union, [t.rows.select(exact(c).alias("endpoint")) for t in relations for c in t.rows.columns])
-            if has_rows(dangling(ends, ids, "endpoint")):
-                raise InvalidTable("dangling edge endpoint")
-    elif any(found[f"r{i}"]["n"] for i in range(len(relations))):
-        raise InvalidTable("dangling edge endpoint")
+        if got["least"] == 0:
+            raise InvalidTable("dangling edge endpoint")
     return {t.schema.id: found[f"r{i}"]["n"] for i, t in enumerate(relations)}
 
 
