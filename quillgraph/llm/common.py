@@ -77,6 +77,26 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[str], tup
     return narrow.mapInArrow(run, schema)
 
 
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, at most ``most``: those above the least of a ladder of marks, eight
+    to a doubling, that leaves few enough. No task sorts or holds more than its own rows."""
+    step = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    steps = counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    kept, least = 0, None
+    for r in sorted(steps, key=lambda r: -r["k"]):
+        kept += r["n"]
+        if kept > most:
+            break
+        least = r["k"]
+    return counted.where(F.lit(False) if least is None else step >= least)
+
+
+def some_rows(df: DataFrame, key: str, about: int, total: int) -> DataFrame:
+    """About ``about`` of ``total`` rows, at most twice as many: those whose key's hash falls in one class of many."""
+    classes = max(1, total // max(1, about))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(classes)) == 0).limit(2 * about)
+
+
 ARROW_TYPES = {
     "string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(),
     "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),

@@ -8,13 +8,17 @@ sequence), as 64-bit hashes. Two documents link when ``100 |A n B| >= 80 |A u B|
    each). Any order gives right results; this one keeps shared passages out of prefixes.
 2. Groups. Equal sets are one class (a 64-bit digest of the set); classes with equal prefix, the first
    ``n - ceil(0.8 n) + 1`` shingles, and equal size are one group. Linked sets share a prefix shingle.
-3. Candidates, first round: in each shingle's list of groups, ordered by size, a group is paired with
-   the one before and with the first of its size band; hot lists are salted and joined up by their
-   first members. So a list of m groups gives about 2 m pairs. Members of one group pair with its first.
+3. Candidates, first round: in each shingle's list of groups a group is paired with the one before it by
+   size and with the most central one of each of two overlapping size bands: the one with the fewest cold
+   shingles in its prefix, as an original has fewer rare shingles than its edited copies. Hot lists are
+   salted and joined up by their most central members. So a list of m groups gives about 3 m pairs.
+   Members of one group pair with its first.
 4. Verification: pairs that pass the size filter and a parity-bitmap bound on the overlap (both exact)
    are intersected in full, and the links connected.
-5. Candidates, second round: only lists whose members are not yet all in one component are expanded,
-   to all pairs of members of different components; these are verified and connected too. Every pair
+5. Candidates, second round: only lists whose members are not yet all in one component are expanded, to
+   the pairs of members of different components whose sizes and bitmaps allow a link, both checked in
+   the join itself, each in the first list the two share (as far as their ``_FIRST`` least lists tell; a
+   pair that is found twice is verified once); these are verified and connected too. Every pair
    of linked documents is thus either tested or already in one component, so components are exact.
 
 Defined results: documents without words or text (null or empty) have no shingles, link with nothing
@@ -32,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, documents, materialize, shingle_hashes, word_hashes
+from .common import arrow_rows, discard, documents, materialize, most_frequent, shingle_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
 _BITS = 1024
+_FIRST = 64
 
 
 def _digest(*parts: bytes) -> int:
@@ -80,7 +85,9 @@ def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray,
             yield flush()
 
     counted = texts.select("t").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
-    top = counted.orderBy(F.col("c").desc(), "s").limit(max_hot).toArrow()
+    counted, path = materialize(counted, "hot")
+    top = most_frequent(counted, "c", max_hot).toArrow()
+    discard(texts.sparkSession, path)
     values = top["s"].to_numpy().view(np.uint64)
     order = np.lexsort((values, top["c"].to_numpy()))
     rank = np.empty(len(values), np.int64)
@@ -90,19 +97,21 @@ def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray,
 
 
 def _prefixes(texts: DataFrame, hot) -> DataFrame:
-    """id, n, cls, gid, parity bitmap, and the prefix's cold and hot shingles (once per gid and task)."""
+    """id, n, cls, gid, parity bitmap, the number of cold shingles in the prefix, and its cold and hot
+    shingles (once per gid and task)."""
 
     def run(batches):
         values, ranks = hot.value
         seen: set[int] = set()
         for batch in batches:
-            ns, classes, groups, bits, colds, hots = [], [], [], [], [], []
+            ns, classes, groups, bits, rares, colds, hots = [], [], [], [], [], [], []
             nothing = np.empty(0, np.uint64)
             for t in batch.column(1).to_pylist():
                 s = shingle_hashes(word_hashes(t), SHINGLE)
                 n = len(s)
                 ns.append(n)
                 if not n:
+                    rares.append(0)
                     for out in (classes, groups):
                         out.append(None)
                     for out in (bits, colds, hots):
@@ -121,6 +130,7 @@ def _prefixes(texts: DataFrame, hot) -> DataFrame:
                 groups.append(group)
                 parity = np.bincount((s % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
                 bits.append(np.packbits(parity.astype(bool), bitorder="little").view(np.uint64))
+                rares.append(len(cold))
                 if group in seen:
                     cold = rest = nothing
                 elif len(seen) < 1_000_000:
@@ -128,11 +138,11 @@ def _prefixes(texts: DataFrame, hot) -> DataFrame:
                 colds.append(cold)
                 hots.append(rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), _lists(bits), _lists(colds), _lists(hots)],
-                names=["id", "n", "cls", "gid", "bits", "cold", "hot"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), _lists(bits), pa.array(rares, pa.int64()), _lists(colds), _lists(hots)],
+                names=["id", "n", "cls", "gid", "bits", "rare", "cold", "hot"],
             )
 
-    return texts.select("id", "t").mapInArrow(run, "id long, n long, cls long, gid long, bits array<long>, cold array<long>, hot array<long>")
+    return texts.select("id", "t").mapInArrow(run, "id long, n long, cls long, gid long, bits array<long>, rare long, cold array<long>, hot array<long>")
 
 
 def _ordered(a, b):
@@ -141,14 +151,16 @@ def _ordered(a, b):
 
 
 def _neighbours(lists: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a, b) of groups: each with the one before it by size, and with the first of its size band."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    chain = Window.partitionBy(*key).orderBy("band", "n", "gid")
-    first = Window.partitionBy(*key, "band").orderBy("n", "gid")
-    seen = lists.withColumn("band", band).select("gid", "n", F.lag(F.struct("gid", "n")).over(chain).alias("x"), F.first(F.struct("gid", "n")).over(first).alias("y"))
+    """Pairs (a, b) of groups: each with the one before it by size, and with the most central of its bands."""
+    steps = F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))
+    central = lambda band: F.first(F.struct("gid", "n")).over(Window.partitionBy(*key, band).orderBy("rare", "n", "gid"))
+    chain = F.lag(F.struct("gid", "n")).over(Window.partitionBy(*key).orderBy("n", "gid"))
+    seen = lists.withColumn("band", F.floor(steps)).withColumn("other", F.floor(steps + 0.5))
+    seen = seen.select("gid", "n", chain.alias("x"), central("band").alias("y"), central("other").alias("z"))
     return (
-        seen.select("gid", "n", F.explode(F.array("x", "y")).alias("o"))
-        .where(F.col("o").isNotNull() & (F.col("o.gid") != F.col("gid")) & (100 * F.col("o.n") >= PERCENT * F.col("n")))
+        seen.select("gid", "n", F.explode(F.array("x", "y", "z")).alias("o"))
+        .where(F.col("o").isNotNull() & (F.col("o.gid") != F.col("gid")))
+        .where((100 * F.col("o.n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("o.n")))
         .select(*_ordered(F.col("gid"), F.col("o.gid")))
     )
 
@@ -219,17 +231,20 @@ class _Sets:
         return out
 
 
+def _facts(table: DataFrame) -> DataFrame:
+    return table.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
+def _may_link(na, xa, nb, xb):
+    """Whether the sizes and parity bitmaps of two sets allow a link: each differing bit is a shingle of one set only."""
+    apart = sum((F.bit_count(xa[i].bitwiseXOR(xb[i])) for i in range(_BITS // 64)), F.lit(0))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * (na + nb - apart) >= 2 * PERCENT * (na + nb))
+
+
 def _bounded(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and parity bitmaps allow a link."""
-    facts = table.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    one = facts.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = facts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("na") + F.col("nb") - apart) / 2
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).where(
-        100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    ).select("a", "b")
+    joined = pairs.join(_facts(table).toDF("a", "na", "xa"), "a").join(_facts(table).toDF("b", "nb", "xb"), "b")
+    return joined.where(_may_link(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,15 +262,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
     shared = spark.sparkContext.broadcast(hot_shingles(texts, hot, max_hot))
     table, _ = materialize(_prefixes(texts, shared), "prefixes")
 
-    colds = table.where(F.size("cold") > 0).select("gid", "n", F.explode("cold").alias("s"), F.lit(-1).alias("salt"))
-    hots = table.where(F.size("hot") > 0).select("gid", "n", F.explode("hot").alias("s"), F.pmod("gid", F.lit(salts)).cast("int").alias("salt"))
+    colds = table.where(F.size("cold") > 0).select("gid", "n", "rare", F.explode("cold").alias("s"), F.lit(-1).alias("salt"))
+    hots = table.where(F.size("hot") > 0).select("gid", "n", "rare", F.explode("hot").alias("s"), F.pmod("gid", F.lit(salts)).cast("int").alias("salt"))
     entries = colds.union(hots)
     listed = Window.partitionBy("s", "salt")
-    shares = entries.select("gid", "n", "s", "salt", F.min("gid").over(listed).alias("lo"), F.max("gid").over(listed).alias("hi"))
-    lists, lists_path = materialize(shares.where("lo <> hi OR salt >= 0").select("gid", "n", "s", "salt").distinct(), "lists")
+    shares = entries.select("gid", "n", "rare", "s", "salt", F.min("gid").over(listed).alias("lo"), F.max("gid").over(listed).alias("hi"))
+    lists, lists_path = materialize(shares.where("lo <> hi OR salt >= 0").select("gid", "n", "rare", "s", "salt").distinct(), "lists")
 
-    heads = Window.partitionBy("s", "salt").orderBy("n", "gid")
-    tops = lists.where("salt >= 0").withColumn("k", F.row_number().over(heads)).where("k = 1").select("gid", "n", "s")
+    # of each salted part, the most central of each size band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
+    heads = Window.partitionBy("s", "salt", "band").orderBy("rare", "n", "gid")
+    tops = lists.where("salt >= 0").withColumn("band", band).withColumn("k", F.row_number().over(heads)).where("k = 1").select("gid", "n", "rare", "s")
     near = _neighbours(lists, ["s", "salt"]).union(_neighbours(tops, ["s"])).distinct()
     groups = table.where("gid IS NOT NULL").groupBy("gid").agg(F.min("cls").alias("rep"), F.max("cls").alias("top"))
     reps = groups.select("gid", "rep")
@@ -279,13 +296,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
     mixed = lists.join(spread, "gid").groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("s")
     inside = spread.where("lo <> hi").select("gid", F.col("gid").alias("s"))
     open_lists = lists.select("gid", "s").join(mixed, "s", "left_semi").union(inside.select("gid", "s"))
-    open_lists = open_lists.join(placed, "gid").select("s", "cls", "n", "c").distinct()
-    open_lists, open_path = materialize(open_lists, "open")
-    x = open_lists.toDF("s", "a", "na", "ca")
-    y = open_lists.toDF("s", "b", "nb", "cb")
-    crossing = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    more = crossing.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more, more_path = materialize(_bounded(more, table), "pairs")
+    open_lists, open_path = materialize(open_lists.join(placed, "gid").select("s", "cls", "c").distinct(), "open")
+    firsts = open_lists.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("s")), 1, _FIRST).alias("firsts"))
+    rows = open_lists.join(_facts(table).join(firsts, "cls"), "cls").select("s", "cls", "c", "n", "bits", "firsts")
+    x, y = rows.toDF("s", "a", "ca", "na", "xa", "fa"), rows.toDF("s", "b", "cb", "nb", "xb", "fb")
+    crossing = x.join(y, "s").where(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))
+        & F.coalesce(F.array_min(F.array_intersect("fa", "fb")) >= F.col("s"), F.lit(True))
+    )
+    more, more_path = materialize(crossing.select("a", "b").distinct(), "pairs")
     if more.limit(1).count():
         sets = finder.of(more)
         found, found_path = materialize(_verified(more, sets), "links")
@@ -306,3 +325,22 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
 
 def op10_ngram_jaccard(spark, sf_dir) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, l, unnest(CASE WHEN len(l) >= 5 THEN range(1, len(l) - 3) WHEN len(l) > 0 THEN [1] ELSE [] END) AS i FROM w)
+), n AS (
+  SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), e AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, any_value(nx.n) AS na, any_value(ny.n) AS nb
+  FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n AS nx ON nx.doc_id = x.doc_id JOIN n AS ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a
+)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.reached) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
+"""
