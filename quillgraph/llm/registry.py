@@ -6,7 +6,7 @@ from .decontaminate import op9_decontaminate
 from .fingerprint import op2_fingerprint
 from .lm_score import op5_lm_score
 from .mixing import op4_mixing
-from .ngram_join import op10_ngram_jaccard
+from .ngram_join import OP10_SQL, op10_ngram_jaccard
 from .pii import op8_pii
 from .quality import op7_quality
 from .secret_scan import op1_secret_scan
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES = {"op3_url_filter": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op6_warc": OP6_SQL, "op10_ngram_jaccard": OP10_SQL}

@@ -40,13 +40,14 @@ def test_registry_is_complete():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
 
 
-def test_archives_and_urls_equal_sql(spark):
+def test_queries_equal_sql(spark):
     import duckdb
 
     from quillgraph.llm import registry
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
+    for t in ("pages", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in registry.ORACLES.items():
         want = con.sql(sql)
         got = registry.QUERIES[name](spark, SF).select(*want.columns)
