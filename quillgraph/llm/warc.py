@@ -7,15 +7,17 @@ written or read whole. Reading gives the same table back: segments are ordered w
 one running digest checks every chunk and, at the last, the payload.
 
 Archives are text files written by Spark with the separator that ends a WARC record, so commits,
-retries and any file system are Spark's own; they are read by the separator that begins one, in splits.
+retries and any file system are Spark's own; they are read by the separator that begins one, streaming
+(uncompressed ones also in splits).
 Chunks are cut so that neither separator can arise inside a record, and lengths are checked on reading.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest id is written as a
-response, the others as revisits that refer to it; digests are compared by a grouped maximum and a join
-whose small side holds repeated digests only (Spark splits a hot one), so no group meets in one task.
+response, the others as revisits that refer to it. Repeated digests are found by a grouped maximum over
+digests alone and joined back: broadcast while there are at most ``max_broadcast`` of them, which is
+counted first, else by shuffling, where Spark splits a hot one. No group meets in one task.
 
 Defined results: a null payload is empty; a null url is a urn of the page's id; a null id stays null and is
-never referred to; repeated rows of one id are all responses; an empty table gives no records; other
+never referred to; rows that repeat the id referred to are all responses; an empty table gives no records; other
 columns are not read. Ids are integers.
 """
 
@@ -65,7 +67,7 @@ def _clean(url: str | None, page) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page}"
 
 
-def chunk_table(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, chunk_bytes: int = CHUNK) -> DataFrame:
+def chunk_table(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, chunk_bytes: int = CHUNK, max_broadcast: int = 100_000) -> DataFrame:
     """(page, url, kind, refers, bytes, copy, chunk_no, last, data, sha1): the payloads of ``df`` in chunks.
 
     ``sha1`` is the hex digest up to the chunk's end; ``copy`` tells records of one id apart. Revisits
@@ -76,7 +78,8 @@ def chunk_table(df: DataFrame, key: str = "page_id", url: str = "url", payload:
         F.col(f"`{key}`").cast("long").alias("page"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("data")
     ).withColumn("digest", F.sha1("data")).withColumn("bytes", F.octet_length("data").cast("long"))
     equal = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("page").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(equal, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(
+    equal, _ = materialize(equal, "repeated")
+    rows = rows.join(F.broadcast(equal) if equal.count() <= max_broadcast else equal, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left").select(
         "page", "url", F.when(F.col("kept") != F.col("page"), F.col("kept")).alias("refers"), "data", "digest"
     )
 
@@ -105,8 +108,8 @@ def chunk_table(df: DataFrame, key: str = "page_id", url: str = "url", payload:
     return rows.mapInArrow(run, "page long, url string, kind string, refers long, bytes long, copy string, chunk_no long, last boolean, data binary, sha1 string")
 
 
-def write_archives(table: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a chunk table as WARC files below ``path``, one per partition."""
+def write_archives(table: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Write a chunk table as WARC files below ``path``, one per partition, each one compressed stream."""
 
     def run(batches):
         for batch in batches:
@@ -131,7 +134,7 @@ def write_archives(table: DataFrame, path: str, date: str = "2024-01-01T00:00:00
                 )
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    table.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END.decode()).text(path)
+    table.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END.decode()).option("compression", compression).text(path)
 
 
 def _parse(raw: bytes) -> tuple[dict[str, str], bytes]:
