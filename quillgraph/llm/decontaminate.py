@@ -9,7 +9,8 @@ diagonal are compared token by token, and the overlap is verified when one of th
 
 Document hashes are made, probed and dropped inside one stage; only hits are shuffled. The benchmark
 side is broadcast while it has at most ``max_broadcast`` seeds, which is counted first; a larger one is
-joined by shuffling, where hot hashes are split by adaptive execution.
+joined by shuffling, each document seed with the few tokens around it, and adaptive execution splits hot
+hashes.
 
 Defined results: null, empty and too short texts have no hits; equal documents have equal hits;
 repeated rows of one id count once; an empty documents or benchmark table gives an empty result; items
@@ -71,24 +72,22 @@ def find_overlaps(
         wide = F.least(F.lit(window), F.size("item_words"))
         first = F.greatest(F.lit(0), F.col("item_at") + length - wide)
         last = F.least(F.col("item_at"), F.size("item_words") - wide)
-        begin = F.col("at") - F.col("item_at") + first
-        found = (
-            _seeds(texts, ["doc"], group)
-            .join(F.broadcast(seeds) if few else seeds, "seed")
-            .select(
-                "doc", "item", begin.cast("int").alias("begin"), wide.alias("wide"),
-                # what the windows cover, from the document (padded in front when it begins before it) and the item
-                F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.lit(0), last - first + wide + F.least(begin, F.lit(0)))).alias("here"),
-                F.slice("item_words", first + 1, last - first + wide).alias("there"),
-                (last - first).alias("room"),
-            )
-        )
+        begin = (F.col("at") - F.col("item_at") + first).cast("int")
+        # all that any window around the hit covers of the document
+        origin = F.greatest(F.lit(0), F.col("at") + length - window)
+        context = F.struct(origin.alias("origin"), F.slice("words", origin + 1, F.col("at") + window - origin).alias("here"))
+        laid = _seeds(texts, ["doc"], group)
+        if few:
+            found = laid.join(F.broadcast(seeds), "seed").withColumn("context", context)
+        else:
+            found = laid.select("doc", "at", "seed", context.alias("context")).join(seeds, "seed")
+        found = found.select("doc", "item", begin.alias("begin"), wide.alias("wide"), (last - first).alias("room"), "context", F.slice("item_words", first + 1, last - first + wide).alias("there"))
         hits = found if hits is None else hits.union(found)
 
-    spot = ["doc", "item", "begin", "wide", "room"]
-    spots = hits.groupBy(*spot).agg(F.first("here").alias("here"), F.first("there").alias("there"))
-    lead = F.greatest(F.lit(0), -F.col("begin"))
-    equal = F.transform("there", lambda w, j: F.when(w == F.get("here", j - lead), 1).otherwise(0))
+    spots = hits.groupBy("doc", "item", "begin", "wide", "room").agg(F.first("context").alias("context"), F.first("there").alias("there"))
+    at = F.col("begin") - F.col("context.origin")
+    # places before the document's first token and after its last are null
+    equal = F.transform("there", lambda w, j: F.when(w == F.get(F.col("context.here"), at + j), 1).otherwise(0))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("room")),
         lambda r: F.struct(F.aggregate(F.slice("equal", r + 1, F.col("wide")), F.lit(0), lambda s, x: s + x).alias("equal"), (-(F.col("begin") + r)).alias("back")),
