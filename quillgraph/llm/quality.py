@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with hierarchical empirical Bayes site posteriors.
 
 Evidence: a ridge-penalised logistic regression over layout, repetition and character features, fitted
-in numpy to at most ``max_labelled`` labelled documents, those with the least hash of their id.
+in numpy to at most ``max_labelled`` labelled documents, chosen by their id's hash.
 
 Sites: a source is a host and a language in it a path. Over all documents, each host and path sums
 good evidence (its label where a document has one, else the classifier's probability). A host's rate is
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, materialize
+from .common import arrow_rows, documents, materialize, some_rows
 
 _SYMBOL = re.compile(r"[^\w\s]")
 _SIGN_TAIL = re.compile(r"[^\w\s.,;:!?'\")-]\B|[!?]{2,}")
@@ -92,17 +92,18 @@ def _labels(labels: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> Logistic:
-    """Fit the classifier to at most ``max_labelled`` labelled documents."""
+    """Fit the classifier to at most ``max_labelled`` labelled documents; their ids are broadcast, no text is shuffled for them."""
     arrow_rows(df.sparkSession)
-    known = _labels(labels, key, label).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t")).join(known, "__id")
+    known = _labels(labels, key, label)
+    known = some_rows(known, "__id", max_labelled // 2, known.count())
+    rows = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t")).join(F.broadcast(known), "__id")
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    got = rows.select("__y", measure("__t").alias("x"), F.xxhash64("__id", "__t").alias("h")).orderBy("h").limit(max_labelled).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
+    got = rows.select("__y", measure("__t").alias("x"), F.xxhash64("__id", "__t").alias("h")).limit(max_labelled).toPandas().sort_values("h")
+    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)  # in one order, so sums round alike
     return Logistic(x, got["__y"].to_numpy(float))
 
 
