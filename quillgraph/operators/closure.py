@@ -44,9 +44,10 @@ def collectable(records: DataFrame, now) -> DataFrame:
 
 def capacity(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: bytes held, bytes that incoming blocks add, both of distinct blocks (cid, length)."""
-    new = incoming.dropDuplicates(["cid"]).join(held.select("cid"), "cid", "left_anti")
-    one = lambda df, name: df.agg(F.coalesce(F.sum("length"), F.lit(0)).alias(name))
-    return one(held.dropDuplicates(["cid"]), "held_bytes").crossJoin(one(new, "new_bytes"))
+    both = held.select("cid", "length", F.lit(1).alias("k")).union(incoming.select("cid", "length", F.lit(0).alias("k")))
+    blocks = both.groupBy("cid").agg(F.max("length").alias("length"), F.max("k").alias("k"))
+    part = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("length"))), F.lit(0))
+    return blocks.agg(part(1).alias("held_bytes"), part(0).alias("new_bytes"))
 
 
 def ledger(operations: DataFrame, budget: int, session: str = "session") -> DataFrame:

@@ -408,9 +408,9 @@ def null_required_property(spark, sf):
 
 @_register("join_bound", "SELECT (SELECT count(*) FROM orders) AS placed, (SELECT count(*) FROM lineitem) AS contains, (SELECT count(*) FROM orders) * (SELECT count(*) FROM lineitem) AS bound")
 def join_bound(spark, sf):
-    one = lambda t, name: _table(spark, sf, t).agg(F.count(F.lit(1)).alias(name))
-    # two single rows
-    return one("orders", "placed").join(one("lineitem", "contains")).withColumn("bound", F.col("placed") * F.col("contains"))
+    counts = [_table(spark, sf, t).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for t, name in (("orders", "placed"), ("lineitem", "contains"))]
+    of = lambda name: F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name)
+    return counts[0].union(counts[1]).agg(of("placed"), of("contains")).withColumn("bound", F.col("placed") * F.col("contains"))
 
 
 @_register(
