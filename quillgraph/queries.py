@@ -452,10 +452,10 @@ def closure_refs(spark, sf):
     return closure.referenced(t("region", "r_name"), t("nation", "n_name"), t("part", "p_brand"))
 
 
-@_register("closure_missing", "SELECT DISTINCT sha256(p_brand) AS cid FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 3)")
+@_register("closure_missing", "SELECT DISTINCT sha256(p_brand) AS cid FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 20)")
 def closure_missing(spark, sf):
     part = _table(spark, sf, "part")
-    return closure.missing_blocks(_cids(part, "p_brand").distinct(), _cids(part.where("p_size <= 3"), "p_brand").distinct())
+    return closure.missing_blocks(_cids(part, "p_brand").distinct(), _cids(part.where("p_partkey <= 20"), "p_brand").distinct())
 
 
 @_register("corrupt_blocks", "SELECT sha256(html) AS cid FROM pages WHERE page_id % 7 = 0 OR page_id % 11 = 0")
