@@ -12,8 +12,8 @@ score matrices, and batches of tokens look their scores up. Within a class a wor
 class's training tokens, (c + 0.1) / (N_class + 0.1 (V_class + 1)), so the text's probability is one over
 all words, seen or not.
 
-Counts cover all training texts. The ``known`` most frequent words' counts are broadcast (16 bytes
-each); every other word of a text is joined with the count table by shuffling, once per text.
+Counts cover all training texts. The most frequent words' counts, at most ``known``, are broadcast (16
+bytes each); every other word of a text is joined with the count table by shuffling, once per text.
 
 Defined results: a null text is empty, an empty text is one end; a null id is held out (its text form
 is empty); without training texts N is 0 and the model is its start; repeated rows are scored apart;
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, documents, materialize, word_hashes
+from .common import arrow_rows, discard, documents, materialize, most_frequent, some_rows, word_hashes
 
 _TAIL = np.uint64(63)
 CLASSES = 64
@@ -94,7 +94,7 @@ def learn_vocabulary(training: DataFrame, symbols: int, known: int) -> tuple[Voc
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in per_class:
         tokens[r["k"]], distinct[r["k"]] = r["c"], r["n"]
-    top = counts.orderBy(F.col("c").desc(), "w").limit(known).toArrow()
+    top = most_frequent(counts, "c", known).toArrow()
     texts = training.count()
     words, values = top["w"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.lexsort((words, -values))
@@ -222,7 +222,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, width: int, batch: int, e
 def train_model(training: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 2048, warm_up: int = 2000) -> LogBilinear:
     """Train on all of ``training`` (``id``, ``t``): one pass per partition after a warm-up, averaged by tokens."""
     model = LogBilinear(vocabulary.unigram, width)
-    few = training.orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(warm_up).coalesce(1)
+    few = some_rows(training, "id", warm_up, vocabulary.end).repartition(1)
     first = _trained(few, vocabulary, width, batch, epochs=2).first()
     if first is None:
         return model
