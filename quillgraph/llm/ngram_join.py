@@ -41,7 +41,7 @@ from .common import arrow_rows, discard, documents, materialize, most_frequent,
 SHINGLE = 5
 PERCENT = 80
 _BITS = 1024
-_FIRST = 64
+_FIRST = 16
 
 
 def _digest(*parts: bytes) -> int:
