@@ -41,11 +41,11 @@ def features(text: str) -> list[float]:
     words = text.split()
     if not words:
         return [0.0] * FEATURES
-    n, chars = len(words), len(text)
+    n = len(words)
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
     letters = sum(map(len, words))
-    upper = sum(1 for c in text if c.isupper()) if chars < 4096 else sum(1 for w in words if w.isupper()) * letters // n
+    upper = sum(map(str.isupper, text))
     symbols = len(_SYMBOL.findall(text))
     tails = len(_SIGN_TAIL.findall(text))
     pairs = Counter(zip(words, words[1:]))

@@ -225,6 +225,13 @@ def junk(rng, k):
     return [" ".join(w + "###" for w in words), " | ".join(words), " ".join(w.upper() + "!!" for w in words[:10] * 6)][k % 3]
 
 
+def test_upper_case_share_does_not_depend_on_length():
+    text = "The Quick brown fox sees iPhones, Écoles and NASA. "
+    want = sum(c.isupper() for c in text) / len("".join(text.split()))
+    for times in (1, 50, 80, 81, 82, 83, 400, 4000):
+        assert quality.features(text * times)[5] == pytest.approx(want), times
+
+
 def test_quality(spark):
     rng = random.Random(6)
     texts = [None, "", "x"] + [junk(rng, i) if i % 5 == 0 else prose(rng, rng.randint(30, 200)).capitalize() + "." for i in range(400)]
