@@ -104,17 +104,32 @@ _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SIGN = r"(?:dot|point|plus|dash|hyphen)"
 _GAP = r"(?:[ \t\r\n]{1,3}|[ \t]?[-,][ \t]?)"
 _RUN = re.compile(rf"(?i)\b(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:{_SIGN}{_GAP})?(?:{_WORD}|[0-9]{{1,4}})(?![A-Za-z0-9]))++", re.A)
-_HINT = re.compile(r"(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)[ \t\r\n,-]", re.A)
+_HINT = re.compile(r"(?i)\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t\r\n,-]", re.A)
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 _BRACKET_AT = re.compile(r"(?i)[ \t]?(?:\[[ \t]?at[ \t]?\]|\([ \t]?at[ \t]?\)|\{[ \t]?at[ \t]?\}|<[ \t]?at[ \t]?>|\[@\]|\(@\))[ \t]?")
 _BRACKET_DOT = re.compile(r"(?i)[ \t]?(?:\[[ \t]?(?:dot|\.)[ \t]?\]|\([ \t]?(?:dot|\.)[ \t]?\)|\{[ \t]?(?:dot|\.)[ \t]?\}|<[ \t]?dot[ \t]?>)[ \t]?")
+#: Country codes, and generic top-level domains with many registrations.
+_COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+)
+_GENERIC = (
+    "aero app art asia bank berlin biz blog cat cloud club com coop design dev digital edu email global gov group info int jobs live ltd mail media mil mobi museum name net network news "
+    "ngo ong online org page post pro shop site social software solutions space store studio systems team tech tel today top travel web website wiki work world xxx xyz zone"
+)
+_TOP = "|".join([*_COUNTRIES.split(), *_GENERIC.split(), "xn--[a-z0-9-]{1,59}"])
+#: Fixed values: "at the dot in" is prose, "at example dot in" an address.
+_PROSE = r"(?:an?|the|this|that|each|every|any|one|no|some|which|my|your|his|her|its|our|their)[ \t]dot[ \t](?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us)\b)"
 _BARE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+.-]{1,64}(?:[ \t]dot[ \t][A-Za-z0-9_%+-]{1,64}){0,4}(?:[ \t]at[ \t]|@)[A-Za-z0-9-]{1,63}(?:(?:\.|[ \t]dot[ \t])[A-Za-z0-9-]{1,63}){0,5}"
-    r"(?:\.|[ \t]dot[ \t])(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us)\b"
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+.-]{1,64}(?:[ \t]dot[ \t][A-Za-z0-9_%+-]{1,64}){0,4}(?:[ \t]at[ \t]|@)"
+    rf"(?!{_PROSE})[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ \t]dot[ \t])[A-Za-z0-9-]{{1,63}}){{0,5}}(?:\.|[ \t]dot[ \t])(?:{_TOP})\b"
 )
 _BARE_AT = re.compile(r"(?i)[ \t]at[ \t]")
 _BARE_DOT = re.compile(r"(?i)[ \t]dot[ \t]")
-_DISGUISE = re.compile(r"(?i)[\[({<][ \t]?(?:at|dot|\.|@)[ \t]?[\])}>]|[ \t]dot[ \t]")
+_DISGUISE = re.compile(r"(?i)[\[({<][ \t]?(?:at|dot|\.|@)[ \t]?[\])}>]|[ \t](?:at|dot)[ \t]")
 
 
 class Tape:
@@ -180,7 +195,7 @@ def _disguised(text: str) -> list[tuple[int, int, str]]:
 
 
 def normalise(text: str) -> Tape | None:
-    """The text after all transducers, or None where none of them has work."""
+    """The text after all transducers, or None where none of them has work; the searches let through all that one handles."""
     foreign, hint, disguise = _FOREIGN.search(text), _HINT.search(text), _DISGUISE.search(text)
     if not (foreign or hint or disguise):
         return None

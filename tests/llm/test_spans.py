@@ -105,6 +105,25 @@ def test_disguises_map_back(text, hidden):
     assert hidden not in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    "text,hidden",
+    [
+        ("write to jane.doe at example.com today", "jane.doe at example.com"), ("jane.doe\tAT\texample.com", "jane.doe\tAT\texample.com"), ("to jane at example dot ch now", "jane at example dot ch"),
+        ("to jane at example.co.jp.", "jane at example.co.jp"), ("to jane at example dot in now", "jane at example dot in"), ("to jane at mail.example.tech now", "jane at mail.example.tech"),
+        ("look at jane.doe at example.com", "jane.doe at example.com"), ("plus oh oh oh oh oh oh oh oh", "plus oh oh oh oh oh oh oh oh"),
+    ],
+)
+def test_a_lone_disguise_passes_the_gate(text, hidden):
+    base, every = pii.all_spans(text)
+    assert base == [] and [text[a:b] for _, a, b in every] == [hidden]
+    assert hidden not in pii.redact(text)
+
+
+@pytest.mark.parametrize("text", ["looking at the dot in the middle", "he was at home. It rained", "at 5.30 we met at noon"])
+def test_prose_with_bare_words_stays(text):
+    assert pii.all_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["He was at the dot of noon.", "one two three and four", "meet at five", "Ти и аз", "é ñ ü ß", "at at at dot dot"])
 def test_clean_text_stays(text):
     assert pii.all_spans(text) == ([], []) and pii.redact(text) == text
