@@ -6,10 +6,13 @@ merging then folds a state into an earlier one when a Hoeffding test finds their
 character frequencies compatible, and so on down their subtrees; what is left is a deterministic
 probabilistic automaton with loops for random bodies and separate states for fixed prefixes.
 
-Scoring: every run of 16 or more credential characters in a text is a candidate. Its score is the
-best format's log2 likelihood minus that of a character-bigram background fitted to labelled harmless
-strings. A candidate at or above ``threshold`` bits that no base span covers becomes a ``format`` span.
-Base spans come from fixed patterns and always stay.
+Scoring: in every run of 16 or more credential characters, each part of 16 or more that begins and ends
+at a sign or at the run's ends is a candidate. Its score is the best format's log2 likelihood minus that
+of a character-bigram background fitted to labelled harmless strings. The automata start at every sign
+and of starts that meet in one state only the best goes on, so the time is linear in the run's length.
+Of candidates at or above ``threshold`` bits that no base span covers, the best becomes a ``format``
+span, then the best that does not overlap it, and so on. Base spans come from fixed patterns and always
+stay.
 
 The labelled examples are drawn by a seeded generator from published key formats, ``per_format`` each,
 so training needs no rows of the corpus and the models broadcast are a few hundred states.
@@ -26,7 +29,9 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -36,7 +41,9 @@ KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
+LEAST = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}+")
+_ENDS = ".-/=+"  # a part neither begins nor ends with these
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -216,24 +223,70 @@ class SecretModel:
         self.automata = {k: Automaton(v) for k, v in (credentials or labelled_credentials()).items()}
         self.background = Background(harmless or labelled_harmless())
         self.threshold = threshold
+        self.steps, self.stops, self.roots = [], [], []  # the states of all automata, numbered through
+        for a in self.automata.values():
+            first = len(self.steps)
+            self.roots.append(first)
+            self.steps += [{c: (seen, first + at) for c, (seen, at) in step.items()} for step, _ in a.table]
+            self.stops += [stop for _, stop in a.table]
 
     def score(self, text: str) -> tuple[float, str]:
         """Log2 odds of the best format against the background, and that format."""
         best, label = max((a.score(text), k) for k, a in self.automata.items())
         return best - self.background.score(text), label
 
+    def parts(self, run: str) -> list[tuple[float, int, int]]:
+        """(score, start, end) of parts at or above the threshold: for every end and state the best start."""
+        background, steps, stops = self.background.step, self.steps, self.stops
+        young: list[tuple[int, float, int]] = []  # (state, score, start) of parts too short yet
+        old: dict[int, tuple[float, int]] = {}
+        out, before = [], "^"
+        for j, c in enumerate(run):
+            if young or old:
+                harmless, moved, kept = background[before, c], {}, []
+                for state, (score, i) in old.items():
+                    if found := steps[state].get(c):
+                        new = (score + found[0] - harmless, i)
+                        if found[1] not in moved or new > moved[found[1]]:
+                            moved[found[1]] = new
+                for state, score, i in young:
+                    if found := steps[state].get(c):
+                        new = (score + found[0] - harmless, i)
+                        if j + 1 - i < LEAST:
+                            kept.append((found[1], *new))
+                        elif found[1] not in moved or new > moved[found[1]]:
+                            moved[found[1]] = new
+                young, old = kept, moved
+            if c not in _ENDS:
+                if not before.isalnum() and len(run) - j >= LEAST:
+                    harmless = background["^", c]
+                    young += [(found[1], found[0] - harmless, j) for root in self.roots if (found := steps[root].get(c))]
+                if old and not run[j + 1 : j + 2].isalnum():
+                    out += [(score + stops[state], i, j + 1) for state, (score, i) in old.items() if score + stops[state] >= self.threshold]
+            before = c
+        return out
+
     def spans(self, text: str) -> tuple[list, list]:
         """Base spans, and base plus learned spans, by start, then kind."""
         base = base_spans(text)
+        starts = [a for a, _, _ in base]
+        reach = [*accumulate((b for _, _, b in base), max)]
         added = []
         for m in _CANDIDATE.finditer(text):
-            word = m[0].strip(".-/=+")
-            start = m.start() + len(m[0]) - len(m[0].lstrip(".-/=+"))
-            if len(word) < 16 or word.isalpha() and (word.islower() or word.isupper() or word.istitle()):
+            run = m[0]
+            bare = run.strip(_ENDS)
+            if len(bare) > 4096 or bare.isalpha() and (bare.islower() or bare.isupper() or bare.istitle()):
                 continue
-            end = start + len(word)
-            if len(word) <= 4096 and not any(a < end and start < b for a, _, b in base) and self.score(word)[0] >= self.threshold:
-                added.append((start, 3, end))
+            taken: list[tuple[int, int]] = []
+            for _, a, b in sorted(self.parts(run), key=lambda x: (-x[0], x[1], x[2])):
+                a, b = m.start() + a, m.start() + b
+                at = bisect_right(starts, a)
+                if at and reach[at - 1] >= b:
+                    continue
+                k = bisect_right(taken, (a, b))
+                if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
+            added += [(a, 3, b) for a, b in taken]
         return base, sorted(base + added)
 
 

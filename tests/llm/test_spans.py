@@ -52,6 +52,25 @@ def test_learned_formats_on_unseen_strings():
     assert all(a.states < 60 for a in model.automata.values())
 
 
+def test_keys_glued_to_signs_are_found():
+    model = secret_scan.SecretModel()
+    keys = {k: v[0] for k, v in secret_scan.labelled_credentials(1, seed=123).items()}
+    for label in ("github", "google", "stripe", "npm", "jwt"):
+        key = keys[label]
+        for head, tail in [("GITHUB_AUTH=", ""), ("?key=", "&x=1"), ("https://host.org/", "/y"), ("a.", ".json"), ("x/y=", "."), ("", "=")]:
+            if label == "jwt" and tail == ".json":
+                continue  # reads as a fourth part
+            text = f"see {head}{key}{tail} here"
+            at = text.index(key)
+            assert (at, 3, at + len(key)) in model.spans(text)[1], (label, text)
+    two = f"{keys['github']}/{keys['npm']}={keys['github']}"
+    assert [two[a:b] for a, _, b in model.spans(two)[1]] == [keys["github"], keys["npm"], keys["github"]]
+    part = "ghp_" + "1f" * 12 + "Zq7XkP2mWv9R"
+    assert {(0, 2, 0), (0, 3, 40)} & {*model.spans(part)[1]} == {(0, 3, 40)} and len(model.spans(part)[0]) == 1
+    harmless = secret_scan.labelled_harmless(3000, seed=5)
+    assert not [x for x in harmless if any(k == 3 for _, k, _ in model.spans(x)[1])]
+
+
 PII = [
     None, "", "write to a.b+c@mail5.example.com, or x@y", "+1 (017) 555-7713 +12 3 +123456789012345678", "192.168.001.255 1.2.3.256 1.2.3.4.5 000000.1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 5",
     "@@a@b.c@d.e", "é a@b.co ü 10.0.0.1", "9" * 3000 + "." + "1" * 3000, ("a" * 50_000 + "@") * 3 + "x.y", "+" * 1000 + "1234567890",
