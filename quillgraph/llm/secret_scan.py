@@ -8,7 +8,7 @@ probabilistic automaton with loops for random bodies and separate states for fix
 
 Scoring: in every run of 16 or more credential characters, each part of 16 or more that begins and ends
 at a sign or at the run's ends is a candidate. Its score is the best format's log2 likelihood minus that
-of a character-bigram background fitted to labelled harmless strings. The automata start at every sign
+of a background of character bigrams, repeats and successions fitted to labelled harmless strings. The automata start at every sign
 and of starts that meet in one state only the best goes on, so the time is linear in the run's length.
 Of candidates at or above ``threshold`` bits that no base span covers, the best becomes a ``format``
 span, then the best that does not overlap it, and so on. Base spans come from fixed patterns and always
@@ -91,6 +91,22 @@ def labelled_harmless(count: int = 4000, seed: int = 11) -> list[str]:
     return out
 
 
+#: Long words of four languages, with clusters of letters the rules above do not make.
+_LONG_WORDS = """
+internationalization responsibilities straightforwardness misunderstandings characteristically incomprehensible acknowledgements knightsbridge lighthousekeeper thoroughbreds
+psychotherapeutic strengthlessness counterproductive electromagnetically microarchitecture unconstitutional rhythmically phenomenological bureaucratically schoolteachers
+geschwindigkeitsbegrenzung rechtsschutzversicherung bundesverfassungsgericht wissenschaftlerinnen freundschaftsbezeigungen kraftfahrzeughaftpflicht
+landwirtschaftlich schifffahrtsgesellschaft krankenversicherungen dampfmaschinenpfeife zwischenmenschlich nahrungsmittelunvertraeglichkeit
+anticonstitutionnellement gouvernementaux bouleversements environnementalistes quatrevingtdixneuf chirurgicalement developpements surveillances
+desafortunadamente responsabilidades extraordinariamente electroencefalografista desenvolvimiento otorrinolaringologo constitucionalidad agradecimientos quinientosveintiocho guardabosques
+"""
+
+
+def labelled_words() -> list[str]:
+    """Long words in lower, upper and title case."""
+    return [w for x in _LONG_WORDS.split() for w in (x, x.upper(), x.title())] * 4
+
+
 def _class(c: str) -> str:
     return "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c
 
@@ -199,7 +215,9 @@ class Automaton:
 
 
 class Background:
-    """A smoothed character-bigram model of harmless strings."""
+    """A smoothed character-bigram model of harmless strings, mixed with repeated and successive characters."""
+
+    REPEAT, NEXT = 0.08, 0.06
 
     def __init__(self, examples: list[str]):
         letters = _ALNUM + "+/_.=-"
@@ -211,7 +229,9 @@ class Background:
         singles = Counter("".join(examples))
         total = singles.total()
         base = {b: (singles[b] + 1) / (total + len(letters)) for b in letters}
-        self.step = {(a, b): math.log2((pairs[a, b] + 8 * base[b]) / (firsts[a] + 8)) for a in "^" + letters for b in letters}
+        learned = lambda a, b: (pairs[a, b] + 8 * base[b]) / (firsts[a] + 8)
+        filler = lambda a, b: self.REPEAT * (a == b) + self.NEXT * (ord(b) == ord(a) + 1)
+        self.step = {(a, b): math.log2((1 - self.REPEAT - self.NEXT) * learned(a, b) + filler(a, b)) for a in "^" + letters for b in letters}
 
     def score(self, text: str) -> float:
         step = self.step
@@ -221,7 +241,7 @@ class Background:
 class SecretModel:
     def __init__(self, credentials: dict[str, list[str]] | None = None, harmless: list[str] | None = None, threshold: float = 24.0):
         self.automata = {k: Automaton(v) for k, v in (credentials or labelled_credentials()).items()}
-        self.background = Background(harmless or labelled_harmless())
+        self.background = Background(harmless or labelled_harmless() + labelled_words())
         self.threshold = threshold
         self.steps, self.stops, self.roots = [], [], []  # the states of all automata, numbered through
         for a in self.automata.values():
@@ -273,12 +293,8 @@ class SecretModel:
         reach = [*accumulate((b for _, _, b in base), max)]
         added = []
         for m in _CANDIDATE.finditer(text):
-            run = m[0]
-            bare = run.strip(_ENDS)
-            if len(bare) > 4096 or bare.isalpha() and (bare.islower() or bare.isupper() or bare.istitle()):
-                continue
             taken: list[tuple[int, int]] = []
-            for _, a, b in sorted(self.parts(run), key=lambda x: (-x[0], x[1], x[2])):
+            for _, a, b in sorted(self.parts(m[0]), key=lambda x: (-x[0], x[1], x[2])):
                 a, b = m.start() + a, m.start() + b
                 at = bisect_right(starts, a)
                 if at and reach[at - 1] >= b:

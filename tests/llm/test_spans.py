@@ -1,7 +1,9 @@
 """Secret scan, PII and URL filter against plain statements of their contracts."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -71,6 +73,17 @@ def test_keys_glued_to_signs_are_found():
     assert not [x for x in harmless if any(k == 3 for _, k, _ in model.spans(x)[1])]
 
 
+def test_long_and_one_case_keys_are_scored():
+    model, rng = secret_scan.SecretModel(), random.Random(17)
+    long = "".join(rng.choices(secret_scan.FORMATS["base64"][0][1], k=6000)) + "Zq7"
+    assert (2, 3, 2 + len(long.rstrip("/+"))) in model.spans(f"a {long} b")[1]
+    for letters in (string.ascii_uppercase, string.ascii_lowercase):
+        keys = ["".join(rng.choices(letters, k=32)) for _ in range(50)]
+        assert sum(model.spans(f"a {k} b")[1] == [(2, 3, 34)] for k in keys) >= 48
+    for x in ["x" * 200_000, "A" * 40, "0" * 5000, string.ascii_uppercase, "Lebensversicherung", "LEBENSVERSICHERUNG", "antidisestablishmentarianism", "PROFESSIONNELLEMENT"]:
+        assert not [s for s in model.spans(f"a {x} b")[1] if s[1] == 3], x[:40]
+
+
 PII = [
     None, "", "write to a.b+c@mail5.example.com, or x@y", "+1 (017) 555-7713 +12 3 +123456789012345678", "192.168.001.255 1.2.3.256 1.2.3.4.5 000000.1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 5",
     "@@a@b.c@d.e", "é a@b.co ü 10.0.0.1", "9" * 3000 + "." + "1" * 3000, ("a" * 50_000 + "@") * 3 + "x.y", "+" * 1000 + "1234567890",
