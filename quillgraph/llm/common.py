@@ -11,44 +11,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; bounds a worker's memory when texts are long.
+#: Rows handed to Python at once, one number for all operators, so the order in which queries are built
+#: changes nothing; Spark bounds a batch's bytes besides.
 ARROW_ROWS = 512
 #: The six characters that separate words in every contract here.
 WORD_BREAKS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; a fresh local one where it is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set a local session gets a temporary folder; on a cluster, whose machines could not
+    read each other's, that is an error.
+    """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target, files = _folder(spark, path)
+    files.mkdirs(target)  # a path must exist to be marked
+    files.deleteOnExit(target)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a job finished writing a table at ``path``."""
+    target, files = _folder(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove tables written by ``materialize`` that no later step reads."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = _folder(spark, path)
+        files.delete(target, True)
+
 
+def without(df: DataFrame, key: str, gone: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone`` (one column of distinct keys); a null key goes only
+    if ``gone`` holds null. The keys are written and counted: up to ``max_broadcast`` are broadcast, so no
+    text is shuffled; more are joined by shuffling."""
+    gone, _ = materialize(gone.toDF("__gone"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
+    return df.join(gone, df[key].eqNullSafe(F.col("__gone")), "left_anti")
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def arrow_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,24 +108,28 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[str], tup
     return narrow.mapInArrow(run, schema)
 
 
-def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of the largest counts, at most ``most``: those above the least of a ladder of marks, eight
-    to a doubling, that leaves few enough. No task sorts or holds more than its own rows."""
+def most_frequent(counted: DataFrame, key: str, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, about ``most``: those above the least of a ladder of marks, eight to
+    a doubling, that leaves few enough, and of the next step those whose key's hash falls in the part there
+    is room for. No task sorts or holds more than its own rows."""
     step = F.floor(F.log2(F.col(count).cast("double")) * 8)
     steps = counted.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
-    kept, least = 0, None
+    room, least, part = most, None, 0
     for r in sorted(steps, key=lambda r: -r["k"]):
-        kept += r["n"]
-        if kept > most:
-            break
         least = r["k"]
-    return counted.where(F.lit(False) if least is None else step >= least)
+        part = min(1 << 20, (room << 20) // r["n"])
+        room -= r["n"]
+        if room <= 0:
+            break
+    if least is None:
+        return counted.where(F.lit(False))
+    return counted.where((step > least) | ((step == least) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part)))
 
 
 def some_rows(df: DataFrame, key: str, about: int, total: int) -> DataFrame:
-    """About ``about`` of ``total`` rows, at most twice as many: those whose key's hash falls in one class of many."""
+    """About ``about`` of ``total`` rows: those whose key's hash falls in one class of many."""
     classes = max(1, total // max(1, about))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(classes)) == 0).limit(2 * about)
+    return df.where(F.pmod(F.xxhash64(key), F.lit(classes)) == 0)
 
 
 ARROW_TYPES = {
@@ -102,28 +137,9 @@ ARROW_TYPES = {
     "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
 }
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 19
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, extended on demand."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(cls.up):
-            size = max(n, _PIECE + 1)
-            with np.errstate(over="ignore"):
-                step = np.full(size, _BASE, np.uint64)
-                step[0] = 1
-                cls.up = np.multiply.accumulate(step)
-                step[1:] = pow(_BASE, -1, 1 << 64)
-                cls.down = np.multiply.accumulate(step)
-        return cls.up[:n], cls.down[:n]
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads all input bits over all output bits."""
     h = h ^ (h >> np.uint64(31))
@@ -133,6 +149,15 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _codes(index: np.ndarray) -> np.ndarray:
+    """A 64-bit code without structure for every (place in a word, byte), given as ``256 place + byte``."""
+    return mix64(mix64(index.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x632BE59BD9B4E019))
+
+
+_DEEP = 64
+_TABLE = _codes(np.arange(_DEEP * 256))
+
+
 def _pieces(raw: bytes) -> Iterator[bytes]:
     """Stretches of about ``_PIECE`` bytes that end between words; a longer word stays whole."""
     at, end = 0, len(raw)
@@ -149,9 +174,10 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 def word_hashes(text: str, tails: bool = False):
     """64-bit hashes of the words of ``text`` with A-Z lower-cased, in order.
 
-    Words are runs of ``[^\\x20\\x09-\\x0D]``. With ``tails`` the low six bits are a word class taken
-    from the last two bytes, so a word's class can be read off its hash. Equal words have equal
-    hashes; different words collide with probability 2**-64 (2**-58 with ``tails``).
+    Words are runs of ``[^\\x20\\x09-\\x0D]``. A word's hash sums one pseudo-random code per byte and place
+    (Zobrist hashing), so no arithmetic pattern of letters makes two words meet. With ``tails`` the low six
+    bits are a word class taken from the last two bytes, so a word's class can be read off its hash. Equal
+    words have equal hashes; two different ones meet with probability 2**-64 (2**-58 with ``tails``).
     """
     out = []
     for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
@@ -165,14 +191,18 @@ def word_hashes(text: str, tails: bool = False):
         starts, ends = edges[::2], edges[1::2]
         if not len(starts):
             continue
-        up, down = _Powers.of(len(a))
-        sums = np.empty(len(a) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        lengths = ends - starts
+        heads = np.cumsum(lengths) - lengths
+        index = (np.arange(heads[-1] + lengths[-1]) - np.repeat(heads, lengths)) << 8
+        index |= a[word[1:-1]]
+        codes = _TABLE.take(index, mode="clip")
+        if lengths.max() > _DEEP:
+            deep = np.flatnonzero(index >= _DEEP << 8)
+            codes[deep] = _codes(index[deep])
+        h = mix64(np.add.reduceat(codes, heads) + lengths.astype(np.uint64))
         if tails:
             last = a[ends - 1].astype(np.uint64)
-            before = np.where(ends - starts > 1, a[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+            before = np.where(lengths > 1, a[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
             h = (h & np.uint64(0xFFFFFFFFFFFFFFC0)) | ((last * np.uint64(37) + before * np.uint64(11)) & np.uint64(63))
         out.append(h)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -182,13 +212,12 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of ``size``-word shingles; fewer words: one shingle; none: empty."""
     if not len(words):
         return words
-    mult = np.uint64(0xA24BAED4963EE407)
+    mult, half = np.uint64(0xA24BAED4963EE407), np.uint64(32)
     if len(words) < size:
-        h = np.full(1, len(words), np.uint64)
-        for w in words:
-            h = h * mult + w
+        h, taken = np.full(1, len(words), np.uint64), words[:, None]
     else:
         h = np.zeros(len(words) - size + 1, np.uint64)
-        for k in range(size):
-            h = h * mult + words[k : len(words) - size + 1 + k]
+        taken = [words[k : len(words) - size + 1 + k] for k in range(size)]
+    for w in taken:
+        h = ((h ^ (h >> half)) + w) * mult
     return np.unique(mix64(h))

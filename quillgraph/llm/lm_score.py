@@ -94,7 +94,7 @@ def learn_vocabulary(training: DataFrame, symbols: int, known: int) -> tuple[Voc
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in per_class:
         tokens[r["k"]], distinct[r["k"]] = r["c"], r["n"]
-    top = most_frequent(counts, "c", known).toArrow()
+    top = most_frequent(counts, "w", "c", known).toArrow()
     texts = training.count()
     words, values = top["w"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.lexsort((words, -values))

@@ -86,7 +86,7 @@ def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray,
 
     counted = texts.select("t").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
     counted, path = materialize(counted, "hot")
-    top = most_frequent(counted, "c", max_hot).toArrow()
+    top = most_frequent(counted, "s", "c", max_hot).toArrow()
     discard(texts.sparkSession, path)
     values = top["s"].to_numpy().view(np.uint64)
     order = np.lexsort((values, top["c"].to_numpy()))

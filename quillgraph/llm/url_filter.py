@@ -92,7 +92,7 @@ def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=RUL
     """``key``, host, path, rule and verdict for every row of ``df``."""
     spark = df.sparkSession
     trie = spark.sparkContext.broadcast(UrlTrie(rules, max_rules))
-    arrow_rows(spark, 10_000)
+    arrow_rows(spark)
     narrow = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{url}`").cast("string").alias("__url"))
 
     def run(batches):

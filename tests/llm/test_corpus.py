@@ -1,7 +1,9 @@
 """Fingerprints, mixing, LM, WARC, quality, decontamination and the Jaccard join on small corpora."""
 
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -9,8 +11,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col, expr, lit
 
 from quillgraph.llm import common, fingerprint, lm_score, mixing, ngram_join, quality, warc
+from quillgraph.llm import decontaminate
 from quillgraph.llm.decontaminate import drop_contaminated, find_overlaps
 
 WORDS = [a + b for a in "bcdfghklmn" for b in ("a", "e", "io", "ur")]
@@ -198,19 +202,41 @@ def test_archives_round_trip(spark, chunk):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-def test_no_chunk_holds_a_separator():
-    for text in (SEPARATOR * 9, "WARC/1.1\r\n" * 9, "\r\n" * 30 + "WARC/1.1\r\n", ""):
-        for limit in (1, 5, 16, 17, 1000):
-            parts = list(warc.chunks(text.encode(), limit))
-            assert b"".join(parts) == text.encode() and all(SEPARATOR.encode() not in b"\r\n\r\n" + p + b"\r\n\r\n" for p in parts)
+def test_archives_are_gzip_with_unique_records(spark, tmp_path):
+    warc.write_archives(warc.chunk_table(spark.createDataFrame(PAGES, "page_id long, url string, html string"), chunk_bytes=1000), f"{tmp_path}/a")
+    ids, refers, members = [], [], 0
+    for f in (tmp_path / "a").glob("part-*"):
+        raw = f.read_bytes()
+        text = gzip.decompress(raw)  # a plain reader sees one valid gzip file
+        members += raw.count(warc._EMPTY_MEMBER)
+        ids += re.findall(rb"WARC-Record-ID: (\S+)", text)
+        refers += re.findall(rb"WARC-Refers-To: (\S+)", text)
+    assert len({*ids}) == len(ids) == members > len(PAGES) and {*refers} <= {*ids} and refers
+
+
+def test_a_record_never_holds_the_separator():
+    for record in (b"x", warc._EMPTY_MEMBER * 500, os.urandom(900) + warc._EMPTY_MEMBER + os.urandom(900)):
+        made = warc._member(record)
+        assert warc._EMPTY_MEMBER not in made and zlib.decompress(made, 31) == record
+
 
+def test_python_sees_only_chunks(spark):
+    """A payload of 48 MB arrives in slices, with digests that grow."""
+    page = spark.range(1).select(col("id").alias("page_id"), lit("u").alias("url"), expr("repeat('0123456789abcdef', 3 << 20)").alias("html"))
+    sizes = warc.chunk_table(page).selectExpr("max(octet_length(data)) as most", "count(*) as n", "count(distinct sha1) as digests", "sum(octet_length(data)) as total").first()
+    assert tuple(sizes) == (warc.CHUNK, 768, 768, 48 << 20)
+    got = warc.archive_pages(page).first()
+    assert (got["payload_bytes"], got["payload_digest"]) == (48 << 20, hashlib.sha1(b"0123456789abcdef" * (3 << 20)).hexdigest())
 
-def test_damage_is_found(spark, tmp_path):
-    warc.write_archives(warc.chunk_table(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"), chunk_bytes=1000), f"{tmp_path}/a", compression="none")
+
+@pytest.mark.parametrize("chunk", [1000, 65536])
+def test_damage_is_found(spark, tmp_path, chunk):
+    warc.write_archives(warc.chunk_table(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"), chunk_bytes=chunk), f"{tmp_path}/a")
     assert warc.verify_records(warc.read_archives(spark, f"{tmp_path}/a")).count() == 1
     for f in (tmp_path / "a").glob("*.txt"):
-        raw = f.read_bytes()
-        f.write_bytes(raw.replace(b"xxx", b"xyx", 1))
+        members = [m for m in f.read_bytes().split(warc._EMPTY_MEMBER) if m]
+        members = [warc._member(zlib.decompress(m, 31).replace(b"xxx", b"xyx", 1)) for m in members]
+        f.write_bytes(warc._EMPTY_MEMBER.join(members))
         (tmp_path / "a" / f".{f.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Exception, match="digest"):
         warc.verify_records(warc.read_archives(spark, f"{tmp_path}/a")).collect()
@@ -260,6 +286,35 @@ def test_sparse_sites_shrink(spark):
 # op 9
 
 
+def plain_tokens(text):
+    return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+
+
+def plain_overlaps(texts, bench):
+    """{(document, item): (most equal tokens, window, first place)} by laying every window everywhere."""
+    out = {}
+    for d, t in enumerate(texts):
+        have = plain_tokens(t)
+        for i, b in enumerate(bench):
+            item = plain_tokens(b)
+            w, known = min(13, len(item)), {*item}
+            if 100 * sum(x in known for x in have) < 80 * w:
+                continue
+            for a in range(len(item) - w + 1 if w else 0):
+                for s in range(1 - w, len(have)):
+                    equal = sum(0 <= s + j < len(have) and have[s + j] == item[a + j] for j in range(w))
+                    if 100 * equal >= 80 * w and (equal, -s) > out.get((d, i), (0,))[:1] + tuple(-x for x in out.get((d, i), (0, 0, 0))[2:]):
+                        out[d, i] = (equal, w, s)
+    return out
+
+
+def test_masks_are_complete():
+    for n, masks in decontaminate.MASKS.items():
+        assert decontaminate.complete(masks, n, decontaminate.admitted(n)) and all(len(m) <= n and m[0] == m[-1] == "1" for m in masks)
+    assert not decontaminate.complete(("1101100101", "1011010011", "1110010110"), 13, 2)
+    assert [decontaminate.admitted(n) for n in range(1, 14)] == [0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 2, 2, 2]
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     bench = [prose(rng, 40) for _ in range(12)] + ["tiny but exact item", None, "", "..."]
@@ -268,27 +323,55 @@ def test_decontamination(spark):
         swapped[k] = "zzz"
     texts = [
         None, "", bench[0], prose(rng, 50) + " " + bench[1].upper() + ". " + prose(rng, 300), " ".join(swapped), " ".join(bench[3].split()[10:24]), prose(rng, 500),
-        " ".join(bench[4].split()[:7]) + " " + prose(rng, 80), "so Tiny, but exact item!", prose(rng, 20_000) + " " + bench[5], bench[6] + " " + bench[7],
+        " ".join(bench[4].split()[:7]) + " " + prose(rng, 80), "so Tiny, but exact item!", prose(rng, 2_000) + " " + bench[5], bench[6] + " " + bench[7],
     ]
-    df = docs(spark, texts + texts[2:3])
-    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in find_overlaps(df, items).collect()}
-    tokens = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
-    want = set()
-    for d, t in enumerate(texts + texts[2:3]):
-        have = tokens(t)
-        for i, b in enumerate(bench):
-            item = tokens(b)
-            w = min(13, len(item))
-            need = 1.0 if len(item) < 10 else 0.8
-            if w and any(sum(have[s + j] == item[a + j] for j in range(w)) >= need * w for a in range(len(item) - w + 1) for s in range(len(have) - w + 1)):
-                want.add((d, i))
-    assert got == want and {(2, 0), (3, 1), (4, 2), (5, 3), (8, 12), (9, 5), (10, 6), (10, 7), (11, 0)} <= got
-    assert find_overlaps(df, items, max_broadcast=0).count() == len(got)
+    texts = texts + texts[2:3]
+    df = docs(spark, texts).withColumn("equal", lit("c")).withColumn("words", lit("c"))
+    items = spark.createDataFrame([(i, b, "c") for i, b in enumerate(bench)] + [(0, bench[0], "c")], "item_id long, text string, at string")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in find_overlaps(df, items).collect()}
+    assert got == plain_overlaps(texts, bench) and {(2, 0), (3, 1), (4, 2), (5, 3), (8, 12), (9, 5), (10, 6), (10, 7), (11, 0)} <= {*got}
+    assert {(r[0], r[1]): tuple(r)[2:] for r in find_overlaps(df, items, max_broadcast=0).collect()} == got
     clean = drop_contaminated(df, items)
-    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {*range(len(texts) + 1)} - {d for d, _ in got}
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {*range(len(texts))} - {d for d, _ in got}
     assert find_overlaps(docs(spark, []), items).count() == 0 and find_overlaps(df, items.where("false")).count() == 0
     assert not re.search("Python|Pandas|Arrow", find_overlaps(df, items)._jdf.queryExecution().executedPlan().toString().replace("PythonUDF", ""))
+    ids = spark.createDataFrame([(None, bench[0]), (None, "clean"), (1, "clean")], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in find_overlaps(ids, items).collect()] == [(None, 0)] and drop_contaminated(ids, items).collect() == [(1, "clean")]
+
+
+def test_every_admitted_substitution_is_found(spark):
+    """All pairs of substituted places in a window of 13, and single ones in shorter items, at both ends of a text."""
+    rng = random.Random(70)
+    words = [f"w{i}" for i in range(500)]
+    bench = [" ".join(rng.sample(words, n)) for n in (30, 13, 12, 11, 10, 9, 8, 7, 6, 5)]
+    texts, want = [], set()
+    for i, b in enumerate(bench):
+        item = b.split()
+        w = min(13, len(item))
+        for x in range(w):
+            for y in range(x, w):
+                at = rng.randint(0, len(item) - w)
+                part = item[at : at + w]
+                for k in {x, y}:
+                    part[k] = "zzz"
+                for there in (part, ["q"] * 3 + part, part + ["q"] * 3):
+                    if 100 * sum(p != "zzz" for p in part) >= 80 * w:
+                        want.add((len(texts), i))
+                    texts.append(" ".join(there))
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {(r[0], r[1]) for r in find_overlaps(docs(spark, texts), items).collect()}
+    assert got == {*plain_overlaps(texts, bench)} and want <= got and len(texts) > 1000
+
+
+def test_long_and_repetitive_items_stay_small(spark):
+    rng = random.Random(71)
+    long = " ".join(f"w{rng.randint(0, 9_999)}" for _ in range(20_000))
+    items = spark.createDataFrame([(0, long), (1, "a " * 4_000)], "item_id long, text string")
+    made = items.select(col("item_id").alias("item"), decontaminate.tokens(col("text")).alias("words"))
+    seeds = decontaminate._item_seeds(made, 13, 13, decontaminate.MASKS[13])
+    assert sum(len(" ".join(r["there"])) + 100 for r in seeds.collect()) < 100 << 20 and seeds.where("item = 1").count() < 40
+    texts = ["a " * 50_000, " ".join(long.split()[5_000:5_013]), "b " * 100]
+    assert {(r[0], r[1]) for r in find_overlaps(docs(spark, texts), items).collect()} == {(0, 1), (1, 0)}
 
 
 # op 10
