@@ -3,16 +3,20 @@
 Tokens: words (A-Z lower-cased) and one end per text. The model's symbols are the end, ``classes``
 classes of rarer words (by a word's last two bytes) and the most frequent words, ``symbols`` in all.
 The two symbols before a token are projected by position vectors, summed and matched with the token's
-vector and bias; noise-contrastive estimation against the unigram fits them without normalising. Every
-partition trains on all its training texts from one common start, and the parameters are averaged by
-tokens in a tree, so the training data never meet in one place and what is gathered grows with them.
+vector and bias; noise-contrastive estimation against the unigram fits them without normalising.
+
+Training is synchronous and does not depend on how the table is laid out: every text belongs to a shard of
+about ``shard_tokens`` tokens by the hash of its id and text, and every shard to one of ``rounds`` rounds.
+In a round each shard trains, in the order of those hashes, from the round's common start; the new start
+is the mean of the results by tokens, summed as whole numbers, so that the order of summing changes nothing.
+The training data never meet in one place, and what is gathered grows with them.
 
 Scoring is normalised: log Z of every pair of context symbols comes from one product of exponentiated
 score matrices, and batches of tokens look their scores up. Within a class a word has its share of the
 class's training tokens, (c + 0.1) / (N_class + 0.1 (V_class + 1)), so the text's probability is one over
-all words, seen or not.
+all words, seen or not. ``symbols`` is the one bound on what the neural part learns, at every input size.
 
-Counts cover all training texts. The most frequent words' counts, at most ``known``, are broadcast (16
+Counts cover all training texts. The most frequent words' counts, about ``known``, are broadcast (16
 bytes each); every other word of a text is joined with the count table by shuffling, once per text.
 
 Defined results: a null text is empty, an empty text is one end; a null id is held out (its text form
@@ -22,8 +26,6 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,7 +104,7 @@ def learn_vocabulary(training: DataFrame, symbols: int, known: int) -> tuple[Voc
 
 
 class LogBilinear:
-    """Parameters as one float32 vector: context vectors, token vectors, biases, position vectors."""
+    """Context vectors, token vectors, biases and position vectors, with the squared gradients of each row."""
 
     def __init__(self, unigram: np.ndarray, width: int = 16, seed: int = 5):
         self.n, self.width, self.unigram = len(unigram), width, unigram
@@ -113,22 +115,19 @@ class LogBilinear:
         self.place = np.full((2, width), 0.5, np.float32)
         self._parts = ("context", "token", "bias", "place")
         self._squares = {k: np.full(len(getattr(self, k)), 1e-6, np.float32) for k in self._parts}
+        self._upto = np.cumsum(unigram)
+        self._floor = np.log(unigram)
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self._parts])
-
-    def steps(self) -> np.ndarray:
-        return np.concatenate([self._squares[k] for k in self._parts])
-
-    def load(self, vector: np.ndarray, squares: np.ndarray | None = None) -> "LogBilinear":
-        at = row = 0
-        for k in self._parts:
-            old = getattr(self, k)
-            setattr(self, k, vector[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-            if squares is not None:
-                self._squares[k] = squares[row : row + len(old)].astype(np.float32)
-                row += len(old)
+        """All parameters and squares in one row of float64."""
+        return np.concatenate([getattr(self, k).ravel() for k in self._parts] + [self._squares[k] for k in self._parts]).astype(np.float64)
+
+    def load(self, vector: np.ndarray) -> "LogBilinear":
+        at = 0
+        for store, names in ((self.__dict__, self._parts), (self._squares, self._parts)):
+            for k in names:
+                store[k] = vector[at : at + store[k].size].reshape(store[k].shape).astype(np.float32)
+                at += store[k].size
         return self
 
     def _climb(self, name: str, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
@@ -144,8 +143,8 @@ class LogBilinear:
 
     def train(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rng: np.random.Generator, noise: int = 50, rate: float = 0.04) -> None:
         """One noise-contrastive step: contexts ``a`` (just before) and ``b`` (before that), tokens ``w``."""
-        drawn = rng.choice(self.n, noise, p=self.unigram)
-        floor = (np.log(noise) + np.log(self.unigram)).astype(np.float32)
+        drawn = np.minimum(np.searchsorted(self._upto, rng.random(noise)), self.n - 1)
+        floor = (np.log(noise) + self._floor).astype(np.float32)
         va, vb, vw, vn = self.context[a], self.context[b], self.token[w], self.token[drawn]
         r = va * self.place[0] + vb * self.place[1]
         true = np.einsum("ij,ij->i", r, vw) + self.bias[w] - floor[w]
@@ -177,16 +176,19 @@ def _symbols(vocabulary: Vocabulary, text: str) -> np.ndarray:
     return np.concatenate([np.zeros(2, np.int32), own, np.zeros(1, np.int32)])
 
 
+#: Parameters are summed as whole multiples of 2**-22, weighted by tokens in units of 1,024.
+_FIXED, _UNIT = float(1 << 22), 1024
+
+
 def _trained(texts: DataFrame, vocabulary: Vocabulary, width: int, batch: int, epochs: int = 1, start=None) -> DataFrame:
-    """(tokens, model, squares) of each partition, trained on all its texts from ``start``."""
+    """(weight, sums) of each partition of ``texts`` (``shard``, ``t``; shards whole and in order): the sum of
+    the parameters of its shards, each trained on all its texts from ``start``, times their weights."""
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, start))
 
     def run(batches):
         v, begin = shared.value
-        model, rng, tokens = LogBilinear(v.unigram, width), np.random.default_rng(17), 0
-        if begin:
-            model.load(*begin)
-        held, size = [], 0
+        now = model = rng = total = None
+        held, size, tokens, weight = [], 0, 0, 0
 
         def learn():
             s = np.concatenate(held)
@@ -202,45 +204,69 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, width: int, batch: int, e
                     model.train(s[i - 1], s[i - 2], s[i], rng)
             return len(at)
 
+        def close():
+            w = -(-tokens // _UNIT)
+            whole = np.rint(np.clip(model.vector(), -64, 64) * _FIXED).astype(np.int64) * w
+            return (whole if total is None else total + whole), weight + w
+
         for got in batches:
-            for t in got.column(0).to_pylist():
+            for shard, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+                if shard != now:
+                    if now is not None:
+                        tokens += learn() if held else 0
+                        total, weight = close()
+                    now, model, rng = shard, LogBilinear(v.unigram, width), np.random.default_rng([17, shard])
+                    held, size, tokens = [], 0, 0
+                    if begin is not None:
+                        model.load(begin)
                 held.append(_symbols(v, t))
                 size += len(held[-1])
                 if size >= 1 << 18:
                     tokens += learn()
                     held, size = [], 0
-        if size:
-            tokens += learn()
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens], pa.int64()), pa.array([model.vector().tobytes()], pa.binary()), pa.array([model.steps().tobytes()], pa.binary())], names=["tokens", "model", "squares"]
-            )
+        if now is not None:
+            tokens += learn() if held else 0
+            total, weight = close()
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["weight", "sums"])
 
-    return texts.select("t").mapInArrow(run, "tokens long, model binary, squares binary")
+    return texts.select("shard", "t").mapInArrow(run, "weight long, sums binary")
 
 
-def train_model(training: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 2048, warm_up: int = 2000) -> LogBilinear:
-    """Train on all of ``training`` (``id``, ``t``): one pass per partition after a warm-up, averaged by tokens."""
-    model = LogBilinear(vocabulary.unigram, width)
-    few = some_rows(training, "id", warm_up, vocabulary.end).repartition(1)
-    first = _trained(few, vocabulary, width, batch, epochs=2).first()
-    if first is None:
-        return model
-    start = (np.frombuffer(first["model"], np.float32), np.frombuffer(first["squares"], np.float32))
-    found = _trained(training, vocabulary, width, batch, start=start).select("tokens", "model").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32).astype(np.float64) * r[0]))
-    tokens, total = found.treeAggregate((0, 0.0), lambda x, y: (x[0] + y[0], x[1] + y[1]), lambda x, y: (x[0] + y[0], x[1] + y[1]))
-    return model.load(total / tokens)
+def _mean(trained: DataFrame) -> np.ndarray | None:
+    """The mean parameters; the sums are added up in a tree."""
+    rows = trained.rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.int64)))
+    weight, total = rows.treeAggregate((0, 0), lambda x, y: (x[0] + y[0], x[1] + y[1]), lambda x, y: (x[0] + y[0], x[1] + y[1]))
+    return total / (weight * _FIXED) if weight else None
 
 
-def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", symbols: int = 1024, known: int = 200_000, width: int = 16) -> DataFrame:
+def train_model(training: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 2048, warm_up: int = 2000, shard_tokens: int = 1 << 18, rounds: int = 3) -> LogBilinear:
+    """Train on all of ``training`` (``h``, ``t``): a warm-up on one class of about ``warm_up`` texts by ``h``, then each text once."""
+    model = LogBilinear(vocabulary.unigram, width)
+    few = some_rows(training, "h", warm_up, vocabulary.end).select(F.lit(0).alias("shard"), "h", "t")
+    start = _mean(_trained(few.repartition(1).sortWithinPartitions("h", "t"), vocabulary, width, batch, epochs=2))
+    if start is None:
+        start = model.vector()
+    count = max(1, -(-vocabulary.tokens // shard_tokens))
+    rounds = min(rounds, count)
+    parts = max(1, min(count // rounds, int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shard = F.pmod(F.xxhash64(F.lit(23), "h"), F.lit(count))
+    for k in range(rounds):
+        # each text is shuffled in one round
+        mine = training.select(shard.alias("shard"), "h", "t").where(F.pmod("shard", F.lit(rounds)) == k)
+        got = _mean(_trained(mine.repartition(parts, "shard").sortWithinPartitions("shard", "h", "t"), vocabulary, width, batch, start=start))
+        start = start if got is None else got
+    return model.load(start)
+
+
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", symbols: int = 2048, known: int = 200_000, width: int = 16, **training_options) -> DataFrame:
     """Per row: ``key``, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
     arrow_rows(spark)
     named = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    texts = df.select(F.col(f"`{key}`").alias("id"), (F.crc32(named) % 10 == 0).alias("held_out"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    training = texts.where("NOT held_out")
+    texts = df.select(F.col(f"`{key}`").alias("id"), (F.crc32(named) % 10 == 0).alias("held_out"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), named.alias("named"))
+    training = texts.where("NOT held_out").select("t", F.xxhash64("named", "t").alias("h"))
     vocabulary, counts, counts_path = learn_vocabulary(training, symbols, known)
-    model = train_model(training, vocabulary, width)
+    model = train_model(training, vocabulary, width, **training_options)
     shared = spark.sparkContext.broadcast((vocabulary, *model.tables()))
 
     def run(batches):
@@ -248,7 +274,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", symbols:
         end_known, end_log, floor = int(v.end > 0), np.log10(v.end + 0.1), np.log10(v.denominator)
         for batch in batches:
             n, hits, base, score, rare, times = [], [], [], [], [], []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(3).to_pylist():
                 h = word_hashes(t, tails=True)
                 own, at, is_known = v.look_up(h)
                 s = np.concatenate([np.zeros(2, np.int32), own, np.zeros(1, np.int32)])
@@ -264,16 +290,17 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", symbols:
                 score.append(float(logs + inside))
                 rare.append(values.view(np.int64))
                 times.append(counted.astype(np.int64))
-            rows = np.frombuffer(os.urandom(8 * len(n)), np.int64)
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, many), pa.array(times, many)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, many), pa.array(times, many)],
                 names=["row", "id", "held_out", "n", "hits", "base", "score", "rare", "times"],
             )
 
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"row long, id {kind}, held_out boolean, n long, hits long, base double, score double, rare array<long>, times array<long>"
-    scored, _ = materialize(texts.mapInArrow(run, schema), "scored")
+    # a row's number is given once, in the job that writes it
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "t")
+    scored, _ = materialize(numbered.mapInArrow(run, schema), "scored")
     rest = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
     more = (
         rest.join(counts, "w", "left").groupBy("row")

@@ -4,9 +4,10 @@ A document's set holds its distinct five-word shingles (A-Z lower-cased; fewer w
 sequence), as 64-bit hashes. Two documents link when ``100 |A n B| >= 80 |A u B|``.
 
 1. Order. Shingles are ordered cold first by hash, then hot by rising count: a shingle is hot if it is
-   among the least 40 % of at least ``hot`` sets. At most ``max_hot`` hot ones are broadcast (16 bytes
-   each). Any order gives right results; this one keeps shared passages out of prefixes.
-2. Groups. Equal sets are one class (a 64-bit digest of the set); classes with equal prefix, the first
+   among the least 40 % of at least ``hot`` sets, or in as many sets of one class of sixteen by id (which
+   chooses an order, never a result). About ``max_hot`` hot ones are broadcast (16 bytes each). Any order gives right results; this one keeps shared passages out of prefixes.
+2. Groups. Equal sets are one class (a 64-bit digest of the set, so two of n different sets are taken for
+   one with probability n**2 / 2**65); classes with equal prefix, the first
    ``n - ceil(0.8 n) + 1`` shingles, and equal size are one group. Linked sets share a prefix shingle.
 3. Candidates, first round: in each shingle's list of groups a group is paired with the one before it by
    size and with the most central one of each of two overlapping size bands: the one with the fewest cold
@@ -63,28 +64,37 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and their ranks by rising count, of shingles in the low part of many sets."""
+    """Hashes, ascending, and their ranks by rising count, of shingles in the low part of many sets, or
+    anywhere in many sets of one class of sixteen (by id): those may reach prefixes whose low part is hot."""
     block = 1 << 20
+    zeros = np.zeros
 
     def run(batches):
-        held, size = [], 0
+        low, high, size = [], [], 0
 
         def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(values), pa.array(counts, pa.int64())], names=["s", "c"])
+            (a, n), (b, m) = (np.unique(np.concatenate(x) if x else zeros(0, np.uint64), return_counts=True) for x in (low, high))
+            n, m = np.concatenate([n, zeros(len(b), np.int64)]), np.concatenate([zeros(len(a), np.int64), m])
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate([a, b])), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["s", "n", "m"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_hashes(word_hashes(t), SHINGLE)
-                held.append(s[: len(s) * 2 // 5 + 1])
-                size += len(held[-1])
+                cut = len(s) * 2 // 5 + 1
+                low.append(s[:cut])
+                size += len(low[-1])
+                if whole:
+                    high.append(s[cut:])
+                    size += len(high[-1])
                 if size >= block:
                     yield flush()
-                    held, size = [], 0
+                    low, high, size = [], [], 0
         if size:
             yield flush()
 
-    counted = texts.select("t").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= hot)
+    chosen = texts.select("t", (F.pmod(F.xxhash64("id"), F.lit(16)) == 0).alias("whole"))
+    counted = chosen.mapInArrow(run, "s long, n long, m long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counted = counted.where((F.col("n") >= hot) | (F.col("m") >= hot)).select("s", (F.col("n") + 16 * F.col("m")).alias("c"))
     counted, path = materialize(counted, "hot")
     top = most_frequent(counted, "s", "c", max_hot).toArrow()
     discard(texts.sparkSession, path)
@@ -165,22 +175,34 @@ def _neighbours(lists: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, node: str, hub: int | None) -> DataFrame:
+    """``edges`` joined by ``node`` with ``least`` (``node``, m, degree). Nodes of at least ``hub`` edges are
+    broadcast, so no task gets all edges of one node."""
+    plain = least.select(node, "m")
+    if hub is None:
+        return edges.join(plain, node)
+    hubs = F.broadcast(least.where(F.col("degree") >= hub).select(node, "m"))
+    return edges.join(hubs, node).unionByName(edges.join(hubs, node, "left_anti").join(plain, node))
+
+
+def connected_components(edges: DataFrame, many: int = 1_000_000) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b): the least node it reaches.
 
     Alternating large-star and small-star contraction; each round is a grouped minimum and a join, and
-    is written to the shared folder. Rounds grow with the logarithm of the longest path.
+    is written to the shared folder. Rounds grow with the logarithm of the longest path. From ``many``
+    edges on, a node with a thousandth of them is a hub; there are at most 2,000.
     """
     spark = edges.sparkSession
     now, path = materialize(edges.where("a <> b").select(*_ordered(F.col("a"), F.col("b"))).distinct(), "components")
-    mark = None
+    mark, count = None, now.count()
     while True:
+        hub = max(2, count // 1000) if count >= many else None
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), "m").where("u <> m").distinct()
-        # here u > m for every row: each node's smaller neighbours
-        low = large.groupBy("u").agg(F.min("m").alias("least"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("least").alias("a")), F.struct(F.col("m").alias("b"), F.col("least").alias("a")))).alias("e"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = _with_least(both.where("b > a"), least, "a", hub).select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # here u > v for every row: each node's smaller neighbours
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = _with_least(large, low, "u", hub).select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
         new, new_path = materialize(small, "components")
         sums = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -188,7 +210,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, path = new, new_path
         if mark == sums:
             break
-        mark = sums
+        mark, count = sums, sums["n"]
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
@@ -254,7 +276,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("i", shared).where(100 * F.col("i") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = 16, max_hot: int = 1_000_000, salts: int = 32) -> DataFrame:
+def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, broadcast if it has at most ``most`` of them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _crossing(rows: DataFrame, list_rows: int, open_lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (s, cls, c, n, bits, firsts) of one list in different components whose sizes
+    and bitmaps allow a link. Members meet only those of their own size band and the one below; a list of
+    more than ``list_rows`` members is cut into parts, each of which meets all members in a task of its own.
+    There are at most as many such lists as rows divided by ``list_rows``, so they are broadcast."""
+    big = open_lists.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > list_rows)
+    parts = big.select("s", F.ceil(F.col("m") / list_rows).cast("int").alias("parts"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    rows = rows.join(F.broadcast(parts), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("band", band)
+    x = rows.select("s", F.col("band").alias("at"), F.pmod("cls", F.col("parts").cast("long")).cast("int").alias("part"), "band", "cls", "c", "n", "bits", "firsts")
+    y = rows.select("s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("at"), "parts", "band", "cls", "c", "n", "bits", "firsts")
+    y = y.select("s", "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "band", "cls", "c", "n", "bits", "firsts")
+    x, y = x.toDF("s", "at", "part", "da", "a", "ca", "na", "xa", "fa"), y.toDF("s", "at", "part", "db", "b", "cb", "nb", "xb", "fb")
+    crossing = x.join(y, ["s", "at", "part"]).where(
+        ((F.col("da") > F.col("db")) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))
+        & F.coalesce(F.array_min(F.array_intersect("fa", "fb")) >= F.col("s"), F.lit(True))
+    )
+    return crossing.select(*_ordered(F.col("a"), F.col("b")))
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = 16, max_hot: int = 1_000_000, salts: int = 32, list_rows: int = 256) -> DataFrame:
     """``key``, n_shingles and component_id (the least key reachable by links) of every document."""
     spark = df.sparkSession
     arrow_rows(spark)
@@ -286,37 +333,34 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
     sets = finder.of(pairs)
     links, links_path = materialize(_verified(pairs, sets), "links")
     discard(spark, finder.path)
-    components, components_path = materialize(connected_components(links), "component")
+    components, _ = materialize(connected_components(links), "component")
 
     # second round: lists that are not yet one component, member by member
     members = table.where("gid IS NOT NULL").select("gid", "cls", "n").distinct()
     placed = members.join(components.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
     placed, placed_path = materialize(placed, "placed")
-    spread = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = lists.join(spread, "gid").groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("s")
+    spread, spread_path = materialize(placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
+    mixed = lists.join(_few(spread), "gid").groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("s")
+    mixed, mixed_path = materialize(mixed, "mixed")
     inside = spread.where("lo <> hi").select("gid", F.col("gid").alias("s"))
-    open_lists = lists.select("gid", "s").join(mixed, "s", "left_semi").union(inside.select("gid", "s"))
+    open_lists = lists.select("gid", "s").join(_few(mixed), "s", "left_semi").union(inside.select("gid", "s"))
     open_lists, open_path = materialize(open_lists.join(placed, "gid").select("s", "cls", "c").distinct(), "open")
     firsts = open_lists.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("s")), 1, _FIRST).alias("firsts"))
     rows = open_lists.join(_facts(table).join(firsts, "cls"), "cls").select("s", "cls", "c", "n", "bits", "firsts")
-    x, y = rows.toDF("s", "a", "ca", "na", "xa", "fa"), rows.toDF("s", "b", "cb", "nb", "xb", "fb")
-    crossing = x.join(y, "s").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))
-        & F.coalesce(F.array_min(F.array_intersect("fa", "fb")) >= F.col("s"), F.lit(True))
-    )
+    crossing = _crossing(rows, max(list_rows, open_lists.count() // 100_000), open_lists)
     more, more_path = materialize(crossing.select("a", "b").distinct(), "pairs")
     if more.limit(1).count():
         sets = finder.of(more)
         found, found_path = materialize(_verified(more, sets), "links")
         discard(spark, finder.path)
         if found.limit(1).count():
-            components, components_path = materialize(connected_components(links.union(found)), "component")
+            components, _ = materialize(connected_components(links.union(found)), "component")
 
     least = table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"))
     labelled = least.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls"))
     ids = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
     classes, _ = materialize(labelled.join(ids, "c").select("cls", "component_id"), "classes")
-    discard(spark, lists_path, pairs_path, links_path, components_path, placed_path, open_path, more_path)
+    discard(spark, lists_path, pairs_path, links_path, placed_path, spread_path, mixed_path, open_path, more_path)
     out = table.select("id", "n", "cls").join(classes, "cls", "left")
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")

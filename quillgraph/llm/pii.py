@@ -4,10 +4,11 @@ Identifiers are found twice. The base pass matches fixed patterns on the text as
 pass runs a chain of transducers, each of which rewrites a span of characters and keeps, for every
 character written, the source span it came from: (1) homoglyphs, full-width and other compatibility
 forms become ASCII and invisible characters vanish; (2) runs of spelled digits become digits, with
-"dot", "plus" and "dash" read as signs inside such runs; (3) "at" and "dot" in brackets, or as bare
-words in an address that ends in a known top-level domain, become ``@`` and ``.``. The same patterns
-then run on the normalised text and each hit's first and last characters map it back to the source.
-A hit that lies inside a base span adds nothing; any other hit is an added span of its kind.
+"dot", "plus" and "dash" read as signs inside such runs; (3) "at" and "dot" in brackets become ``@`` and
+``.``; (4) so do bare words in an address that ends in a known top-level domain. Each rewrite depends on
+what stands next to it and on nothing else in the text. The same patterns then run on the normalised
+text and each hit's first and last characters map it back to the source. A hit that lies inside a base
+span adds nothing; any other hit is an added span of its kind.
 
 Defined results: a null text is empty; an empty text has no spans; every text is read whole, in time
 linear in its length; repeated rows are judged alike; an empty table gives an empty result; columns
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ from .common import arrow_rows, documents, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
+_LOCAL_SET = frozenset(_LOCAL)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -102,12 +106,12 @@ _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four"
 _SIGNS = {"dot": ".", "point": ".", "plus": "+", "dash": "-", "hyphen": "-"}
 _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SIGN = r"(?:dot|point|plus|dash|hyphen)"
-_GAP = r"(?:[ \t\r\n]{1,3}|[ \t]?[-,][ \t]?)"
-_RUN = re.compile(rf"(?i)\b(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:{_SIGN}{_GAP})?(?:{_WORD}|[0-9]{{1,4}})(?![A-Za-z0-9]))++", re.A)
-_HINT = re.compile(r"(?i)\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ \t\r\n,-]", re.A)
+_GAP = r"(?:[ \t\r\n]++|-|,[ \t]?)"
+_RUN = re.compile(rf"(?i)\b(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:{_SIGN}{_GAP})?(?:{_WORD}|[0-9]++)(?![A-Za-z0-9]))++", re.A)
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
-_BRACKET_AT = re.compile(r"(?i)[ \t]?(?:\[[ \t]?at[ \t]?\]|\([ \t]?at[ \t]?\)|\{[ \t]?at[ \t]?\}|<[ \t]?at[ \t]?>|\[@\]|\(@\))[ \t]?")
-_BRACKET_DOT = re.compile(r"(?i)[ \t]?(?:\[[ \t]?(?:dot|\.)[ \t]?\]|\([ \t]?(?:dot|\.)[ \t]?\)|\{[ \t]?(?:dot|\.)[ \t]?\}|<[ \t]?dot[ \t]?>)[ \t]?")
+# blanks around a bracket belong to it; a search begins only where a run of blanks does, so it stays linear
+_BRACKET_AT = re.compile(r"(?i)(?<![ \t])[ \t]*+(?:\[[ \t]*+(?:at|@)[ \t]*+\]|\([ \t]*+(?:at|@)[ \t]*+\)|\{[ \t]*+(?:at|@)[ \t]*+\}|<[ \t]*+(?:at|@)[ \t]*+>)[ \t]*+")
+_BRACKET_DOT = re.compile(r"(?i)(?<![ \t])[ \t]*+(?:\[[ \t]*+(?:dot|\.)[ \t]*+\]|\([ \t]*+(?:dot|\.)[ \t]*+\)|\{[ \t]*+(?:dot|\.)[ \t]*+\}|<[ \t]*+dot[ \t]*+>)[ \t]*+")
 #: Country codes, and generic top-level domains with many registrations.
 _COUNTRIES = (
     "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
@@ -120,16 +124,13 @@ _GENERIC = (
     "aero app art asia bank berlin biz blog cat cloud club com coop design dev digital edu email global gov group info int jobs live ltd mail media mil mobi museum name net network news "
     "ngo ong online org page post pro shop site social software solutions space store studio systems team tech tel today top travel web website wiki work world xxx xyz zone"
 )
-_TOP = "|".join([*_COUNTRIES.split(), *_GENERIC.split(), "xn--[a-z0-9-]{1,59}"])
+_TOP = re.compile("(?i)(?:" + "|".join([*_COUNTRIES.split(), *_GENERIC.split(), "xn--[a-z0-9-]+"]) + ")")
 #: Fixed values: "at the dot in" is prose, "at example dot in" an address.
-_PROSE = r"(?:an?|the|this|that|each|every|any|one|no|some|which|my|your|his|her|its|our|their)[ \t]dot[ \t](?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us)\b)"
-_BARE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+.-]{1,64}(?:[ \t]dot[ \t][A-Za-z0-9_%+-]{1,64}){0,4}(?:[ \t]at[ \t]|@)"
-    rf"(?!{_PROSE})[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ \t]dot[ \t])[A-Za-z0-9-]{{1,63}}){{0,5}}(?:\.|[ \t]dot[ \t])(?:{_TOP})\b"
-)
-_BARE_AT = re.compile(r"(?i)[ \t]at[ \t]")
+_PROSE = re.compile(r"(?i)(?:an?|the|this|that|each|every|any|one|no|some|which|my|your|his|her|its|our|their)[ \t]dot[ \t](?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us)\b)")
+_BARE_AT = re.compile(r"(?i)[ \t]at[ \t]|@")
 _BARE_DOT = re.compile(r"(?i)[ \t]dot[ \t]")
-_DISGUISE = re.compile(r"(?i)[\[({<][ \t]?(?:at|dot|\.|@)[ \t]?[\])}>]|[ \t](?:at|dot)[ \t]")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_DOT = re.compile(r"(?i)\.|[ \t]dot[ \t]")
 
 
 class Tape:
@@ -181,32 +182,61 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _local_start(text: str, at: int, least: int) -> int:
+    """Where the local part that ends at ``at`` begins, not before ``least``; pieces may be joined by a bare dot."""
+    begin = at
+    while True:
+        piece = begin
+        while begin > least and text[begin - 1] in _LOCAL_SET:
+            begin -= 1
+        if begin == piece:
+            return min(at, begin + 5) if piece < at else at
+        if begin - 5 < least or not _BARE_DOT.fullmatch(text, begin - 5, begin):
+            return begin
+        begin -= 5
+
+
+def _domain_end(text: str, at: int) -> int:
+    """Where the longest domain from ``at`` that ends in a known top-level domain ends; ``at`` if there is none."""
+    end, label = at, _LABEL.match(text, at)
+    while label and (dot := _DOT.match(text, label.end())):
+        label = _LABEL.match(text, dot.end())
+        if label and text[label.end() : label.end() + 1] != "_" and _TOP.fullmatch(label[0]):
+            end = label.end()
+    return end
+
+
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Edits for "at" and "dot" as bare words, outwards from each "at"; every character is read a few times."""
+    edits, done = [], 0
+    for m in _BARE_AT.finditer(text):
+        if m.start() < done or _PROSE.match(text, m.end()):
+            continue
+        begin = _local_start(text, m.start(), done)
+        end = _domain_end(text, m.end()) if begin < m.start() else m.end()
+        if end > m.end():
+            if m[0] != "@":
+                edits.append((m.start(), m.end(), "@"))
+            for part in ((begin, m.start()), (m.end(), end)):
+                edits += [(x.start(), x.end(), ".") for x in _BARE_DOT.finditer(text, *part)]
+            done = end
+        else:
+            done = m.end() - 1  # the blank after may begin the next "at"
+    return edits
+
+
 def _disguised(text: str) -> list[tuple[int, int, str]]:
     edits = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)]
-    for m in _BARE.finditer(text):
-        edits += [(m.start() + x.start(), m.start() + x.end(), "@") for x in _BARE_AT.finditer(m[0])]
-        edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _BARE_DOT.finditer(m[0])]
-    kept, end = [], 0
-    for a, b, new in sorted(edits):
-        if a >= end:
-            kept.append((a, b, new))
-            end = b
-    return kept
+    return sorted(edits)
 
 
 def normalise(text: str) -> Tape | None:
-    """The text after all transducers, or None where none of them has work; the searches let through all that one handles."""
-    foreign, hint, disguise = _FOREIGN.search(text), _HINT.search(text), _DISGUISE.search(text)
-    if not (foreign or hint or disguise):
-        return None
+    """The text after all transducers, or None where none of them has work."""
     tape = Tape(text)
-    if foreign:
-        tape = tape.rewrite([(m.start(), m.end(), _plain(m[0])) for m in _FOREIGN.finditer(text)])
-    changed = bool(foreign)
-    for find in (_spelled, _disguised):
+    for find in (lambda t: [(m.start(), m.end(), _plain(m[0])) for m in _FOREIGN.finditer(t)], _spelled, _disguised, _bare):
         if edits := find(tape.text):
-            tape, changed = tape.rewrite(edits), True
-    return tape if changed else None
+            tape = tape.rewrite(sorted(edits))
+    return tape if tape.text != text else None
 
 
 def all_spans(text: str) -> tuple[list, list]:
@@ -215,10 +245,14 @@ def all_spans(text: str) -> tuple[list, list]:
     tape = normalise(text)
     if tape is None:
         return base, base
+    by_start = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in by_start]
+    reach = [*accumulate((b for _, b in by_start), max)]
     added = set()
     for k, a, b in base_spans(tape.text):
         start, end = tape.first[a], tape.last[b - 1]
-        if not any(s <= start and end <= e for _, s, e in base if s <= start):
+        at = bisect_right(starts, start)
+        if not at or reach[at - 1] < end:
             added.add((k, start, end))
     return base, sorted({*base, *added})
 

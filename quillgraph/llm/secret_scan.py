@@ -14,8 +14,11 @@ Of candidates at or above ``threshold`` bits that no base span covers, the best
 span, then the best that does not overlap it, and so on. Base spans come from fixed patterns and always
 stay.
 
-The labelled examples are drawn by a seeded generator from published key formats, ``per_format`` each,
-so training needs no rows of the corpus and the models broadcast are a few hundred states.
+The labelled examples are of two kinds: draws of a seeded generator from published key formats,
+``per_format`` each, and the corpus' own: the distinct values that the assign and access patterns find in
+all documents, the ``most`` of the least hashes (one more format, if there are enough to merge states).
+The models broadcast are a few hundred states. An automaton that has learned a random body accepts it at any
+length, so long encoded data reads as a credential too.
 
 Defined results: a null text is empty; an empty text has no spans; texts are read whole; repeated rows
 are judged alike; an empty table gives an empty result; other columns are not read. Offsets are code
@@ -34,6 +37,7 @@ from collections import Counter
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents, map_texts
 
@@ -310,9 +314,20 @@ def show(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def corpus_credentials(df: DataFrame, text: str = "text", most: int = 2000, least: int = 40) -> dict[str, list[str]]:
+    """Labelled examples from the corpus: distinct values of 16 or more characters that the assign and access
+    patterns find, at most ``most`` by hash; none if there are fewer than ``least``."""
+    value = lambda pattern, group: F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(pattern), F.lit(group))
+    names = "password|passwd|secret|token|api_?key"
+    found = F.concat(value(rf"""(?i:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{{{LEAST},}})""", 1), value("(AKIA[A-Z0-9]{16,})", 1))
+    values = df.select(F.explode(found).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(most).collect()
+    examples = [v for r in values if len(v := r["v"].strip(_ENDS)) >= LEAST]
+    return {"corpus": examples} if len(examples) >= least else {}
+
+
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", model: SecretModel | None = None) -> DataFrame:
     """Counts by kind, a digest of the base spans, all spans and the number of learned ones."""
-    shared = df.sparkSession.sparkContext.broadcast(model or SecretModel())
+    shared = df.sparkSession.sparkContext.broadcast(model or SecretModel(labelled_credentials() | corpus_credentials(df, text)))
 
     def row(t: str) -> tuple:
         base, every = shared.value.spans(t)

@@ -166,6 +166,33 @@ def test_lm_scores(spark):
     assert lm_score.score_texts(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_layout(spark):
+    rng = random.Random(55)
+    texts = [None, ""] + [prose(rng, rng.randint(5, 80), WORDS[k % 2 * 20 : k % 2 * 20 + 20]) for k in range(300)]
+    df = docs(spark, texts + texts[:40])
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n, parts in ((1, 4), (4, 2), (32, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        scored = lm_score.score_texts(df.repartition(n), symbols=90, known=30, shard_tokens=1000).collect()
+        got.append(sorted((tuple(r) for r in scored), key=lambda r: r[0]))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for other in got[1:]:
+        assert [r[:5] for r in other] == [r[:5] for r in got[0]]
+        assert all(math.isclose(x, y, rel_tol=1e-9) for a, b in zip(other, got[0]) for x, y in zip(a[5:], b[5:]))
+
+
+def test_words_that_share_arithmetic_are_told_apart(spark):
+    """Thue-Morse words and their complements, which meet under any polynomial modulo 2**64."""
+    one, other = ("".join("ab"[(bin(i).count("1") + x) % 2] for i in range(2048)) for x in (0, 1))
+    assert len({common.word_hashes(w)[0] for w in (one, other)}) == 2 and len({common.word_hashes(w, tails=True)[0] for w in (one, other)}) == 2
+    pair = docs(spark, [one, other])
+    assert [tuple(r) for r in ngram_join.jaccard_components(pair).orderBy("doc_id").collect()] == [(0, 1, 0), (1, 1, 1)]
+    ids = [i for i in range(10) if zlib.crc32(str(i).encode()) % 10][:1] + [i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 10 == 0][:1]
+    rows = spark.createDataFrame([(ids[0], one), (ids[1], other)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_known"] for r in lm_score.score_texts(rows, symbols=90).collect()} == {ids[0]: 2, ids[1]: 1}
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
     v = np.full(40, 1 / 40)
