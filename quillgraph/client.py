@@ -9,26 +9,31 @@ import hashlib
 import json
 import sys
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
 from .catalog import EntityCatalog, RelationCatalog, Revision, SemanticSnapshot
-from .errors import InvalidTable, QuillError, ResourceLimit, SchemaMismatch
+from .errors import ContentError, InvalidTable, QuillError, ResourceLimit, SchemaMismatch, TransferError
 from .functions.cid import parse_cid
 from .functions.ids import typed_id
 from .operators.facts import check_static_edges
 from .operators.paths import one_hop
 from .operators.tables import EntityTable, RelationTable
+from .plans.binding import Admission, ResultLimits, admit_rows
 from .plans.ir import Edge, Endpoint, Node, Path, Projection, Query
-from .sources.blocks import FileStore, Store
+from .sources.blocks import FileStore, Store, timed
 from .sources.snapshot import PropertyInput, SnapshotLimits, materialize_snapshot, publish_snapshot, restore_snapshot, restored_tables
 from .streaming.outbox import Outbox, Record, serve, sync_pending
 from .types import ENTITY, STRING, EntitySchema, RelationField, RelationSchema
 
 MAX_REQUEST = 1 << 20
 MAX_EDGES = 1024
-RECEIPT_KEYS = {"operation", "request_sha256", "root", "generation", "edges", "rows"}
+RECEIPT_KEYS = {"operation", "request_sha256", "root", "generation", "edges", "rows", "result_sha256"}
+RESULT_LIMITS = ResultLimits(MAX_EDGES, 2 * MAX_EDGES)
+#: Fixed value: seconds a request may take.
+DEADLINE = 40.0
 
 RUNTIME_NODE = EntitySchema(typed_id("entity_type", "RuntimeNode"), "RuntimeNode", (RelationField("name", STRING),))
 STATIC_EDGE = RelationSchema(typed_id("relation", "StaticEdge"), "StaticEdge", (RelationField("source", ENTITY), RelationField("target", ENTITY)))
@@ -83,6 +88,7 @@ class StaticEdgeClient:
     outbox: Outbox
     source: str
     capacity: int = 64 << 20
+    deadline: float = DEADLINE
     limits: SnapshotLimits = field(default_factory=lambda: SnapshotLimits(max_rows=8 * MAX_EDGES, max_blocks=8))
 
     def _snapshot(self, revision: str) -> SemanticSnapshot:
@@ -116,6 +122,9 @@ class StaticEdgeClient:
 
     def query(self, root: str, revision: str) -> list[tuple[str, str]]:
         """The edges of a stored snapshot by node name, sorted."""
+        return list(self._admitted(root, revision).rows)
+
+    def _admitted(self, root: str, revision: str) -> Admission:
         restored = restore_snapshot(self.local, self.remote, parse_cid(root), RELATIONS, ENTITIES, self.limits)
         if restored.root.manifest.snapshot.digest != self._snapshot(revision).digest:
             raise InvalidTable("a snapshot of another source or revision")
@@ -123,7 +132,7 @@ class StaticEdgeClient:
         rows = one_hop(QUERY, relations[0]).rows
         names = entities[0].rows
         named = rows.join(names.toDF("source", "a"), "source").join(names.toDF("target", "b"), "target")
-        return [tuple(r) for r in named.select("a", "b").orderBy("a", "b").collect()]
+        return admit_rows(named.select("a", "b").orderBy("a", "b"), ["a", "b"], RESULT_LIMITS)
 
     def query_tool(self, root: str, revision: str):
         """A tool of fixed scope: calling it with any argument is refused."""
@@ -136,18 +145,35 @@ class StaticEdgeClient:
         return tool
 
     def handle(self, raw: bytes) -> dict:
-        """Run one request and return its receipt."""
-        d = parse_request(raw)
+        """Run one request and return its receipt; a request that takes longer than ``deadline`` is given up
+        and its Spark jobs are cancelled."""
+        d, sc, group = parse_request(raw), self.spark.sparkContext, f"request-{uuid.uuid4().hex}"
+
+        def run():
+            sc.setJobGroup(group, d["operation"], True)
+            return self._run(d, raw)
+
+        try:
+            return timed(run, self.deadline)
+        except ContentError as e:
+            if str(e) != "deadline":
+                raise
+            sc.cancelJobGroup(group)
+            raise TransferError("the request's deadline has passed") from e
+
+    def _run(self, d: dict, raw: bytes) -> dict:
         edges = sorted(tuple(e) for e in d.get("edges", []))
-        root, rows, generation = d.get("root"), [], None
+        root, rows, generation, digest = d.get("root"), [], None, None
         if d["operation"] == "sync":
             rows = sorted([k, v] for k, v in self.sync_pending().items())
         elif d["operation"] == "query":
-            rows = [list(r) for r in self.query(root, d["revision"])]
+            admitted = self._admitted(root, d["revision"])
+            rows, digest = [list(r) for r in admitted.rows], admitted.digest
         else:
             made = self.protect(edges, d["revision"], d.get("protected_until", 0)) if d["operation"] == "protect" else self.publish(edges, d["revision"])
             root, generation = str(made.cid), made.manifest.snapshot.generation
-        return check_receipt({"operation": d["operation"], "request_sha256": hashlib.sha256(raw).hexdigest(), "root": root, "generation": generation, "edges": len(edges), "rows": rows}, raw)
+        receipt = {"operation": d["operation"], "request_sha256": hashlib.sha256(raw).hexdigest(), "root": root, "generation": generation, "edges": len(edges), "rows": rows, "result_sha256": digest}
+        return check_receipt(receipt, raw)
 
 
 def main(argv: list[str], client: StaticEdgeClient, stdin=None, stdout=None) -> int:

@@ -57,16 +57,27 @@ def _missing(column: Column, field: RelationField) -> Column:
     return reduce(Column.__or__, checks)
 
 
-def context_violations(rows: DataFrame) -> DataFrame:
-    """Rows whose context does not parse or contradicts itself."""
+def _context_ok():
+    """Whether the shared part of a context parses; it depends on four columns only."""
     c = dict(zip(CONTEXT, (exact(x) for x in COLUMNS)))
     any_of = lambda column, kinds: reduce(Column.__or__, [is_id(column, k) for k in kinds])
-    good = (
-        is_id(c["fact_id"], "fact") & is_id(c["generation_id"], "generation") & any_of(c["authority"], AUTHORITIES) & any_of(c["provenance"], PROVENANCES)
-        & F.coalesce(c["completeness"].isin(*COMPLETENESS), F.lit(False))
-        & (c["invalidated_by"].isNull() | (is_id(c["invalidated_by"], "fact") & (c["invalidated_by"] != c["fact_id"])))
-    )
-    return rows.where(~good)
+    return is_id(c["generation_id"], "generation") & any_of(c["authority"], AUTHORITIES) & any_of(c["provenance"], PROVENANCES) & F.coalesce(c["completeness"].isin(*COMPLETENESS), F.lit(False))
+
+
+def fact_checks(relation: RelationSchema, rows: DataFrame) -> DataFrame:
+    """One row of what is checked of facts, from one grouping by the context and one by the fact id: rows, nulls
+    in fields that take none, malformed contexts (each distinct one is parsed once), and the most of one fact id."""
+    fact, undone = exact(COLUMNS[0]), exact(COLUMNS[5])
+    missing = reduce(Column.__or__, [_missing(exact(f.name), f) for f in relation.fields], F.lit(False))
+    own = is_id(fact, "fact") & (undone.isNull() | (is_id(undone, "fact") & (undone != fact)))
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
+    shared = rows.groupBy(*[exact(c) for c in COLUMNS[1:5]]).agg(F.lit(1).alias("__one"))
+    contexts = shared.agg(total((~_context_ok()).cast("long"), "contexts"))
+    ids = rows.groupBy(fact.alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(missing.cast("long")).alias("missing"), F.sum((~own).cast("long")).alias("own"))
+    found = ids.agg(total("n", "n"), total("missing", "missing"), total("own", "own"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    nothing = F.lit(0).cast("long")
+    one = found.select("n", "missing", "own", "most", nothing.alias("contexts")).union(contexts.select(nothing, nothing, nothing, nothing, "contexts"))
+    return one.agg(*[F.sum(c).alias(c) for c in one.columns])
 
 
 def encode_facts(relation: RelationSchema, facts: DataFrame) -> DataFrame:
@@ -87,15 +98,14 @@ def check_facts(relation: RelationSchema, rows: DataFrame) -> int:
         _any_null(f.dataType) for f in rows.schema
     ][len(COLUMNS) :] != [_any_null(f.type.spark()) for f in relation.fields]:
         raise SchemaMismatch("column types are not the relation's")
-    missing = reduce(Column.__or__, [_missing(exact(f.name), f) for f in relation.fields], F.lit(False))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(missing.cast("long")), F.lit(0)).alias("missing")).first()
-    if total["missing"]:
+    got = fact_checks(relation, rows).first()
+    if got["missing"]:
         raise SchemaMismatch("null in a field that takes none")
-    if has_rows(context_violations(rows)):
+    if got["own"] or got["contexts"]:
         raise InvalidTable("malformed fact context")
-    if has_rows(duplicates(rows, COLUMNS[0])):
+    if got["most"] > 1:
         raise InvalidTable("duplicate fact id")
-    return total["n"]
+    return got["n"]
 
 
 def _any_null(kind: T.DataType) -> T.DataType:

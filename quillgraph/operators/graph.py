@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRelationSchema, InvalidTable, RelationMismatch
 from ..types import RelationSchema
 from .facts import COLUMNS
 from .tables import exact
-from .validate import duplicates, has_rows
 
 #: The properties an edge carries, in order.
 EDGE_PROPERTIES = (
@@ -51,14 +51,31 @@ def facts_from_edges(projection: GraphProjection, edges: DataFrame) -> DataFrame
     return edges.select(*[F.col(c).alias(p) for p, c in context.items()], F.col("source").alias(relation.fields[0].name), F.col("destination").alias(relation.fields[1].name))
 
 
-def check_edges(projection: GraphProjection, edges: DataFrame) -> None:
-    """Every edge of this relation, ids unique, validity and invalidator consistent."""
-    if has_rows(edges.where((F.col("relation_id") != projection.relation.id) | (F.col("predicate") != projection.relation.predicate))):
+def edge_facts(projection: GraphProjection, edges: DataFrame) -> DataFrame:
+    """One row of what is checked of edges: their number, the most of one fact id, and rows that break a rule."""
+    relation = projection.relation
+    other = ~(F.col("relation_id").eqNullSafe(F.lit(relation.id)) & F.col("predicate").eqNullSafe(F.lit(relation.predicate)))
+    torn = F.coalesce((F.col("validity_kind") == "valid") != F.col("invalidated_by").isNull(), F.lit(True))
+    ends = [c for c in ("source", "destination") if c in edges.columns]
+    lost = reduce(Column.__or__, [F.col(c).isNull() for c in ends], F.lit(False))
+    each = edges.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x.cast("long")).alias(k) for k, x in (("other", other), ("torn", torn), ("lost", lost))])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return each.agg(total("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), total("other"), total("torn"), total("lost"))
+
+
+def check_edges(projection: GraphProjection, edges: DataFrame) -> int:
+    """Every edge of this relation with both ends, ids unique, validity and invalidator consistent; in one
+    job, which returns how many there are."""
+    got = edge_facts(projection, edges).first()
+    if got["other"]:
         raise RelationMismatch(projection.relation.predicate)
-    if has_rows(duplicates(edges, "fact_id")):
+    if got["lost"]:
+        raise InvalidTable("unknown vertex in an edge")
+    if got["most"] > 1:
         raise InvalidTable("duplicate fact id")
-    if has_rows(edges.where((F.col("validity_kind") == "valid") != F.col("invalidated_by").isNull())):
+    if got["torn"]:
         raise InvalidTable("validity contradicts its invalidator")
+    return got["n"]
 
 
 def dense_index(ids: DataFrame, key: str, digits: int = 3) -> DataFrame:
@@ -99,22 +116,45 @@ def resolve_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def check_resolved(edges: DataFrame, *columns: str) -> None:
     """No endpoint may be unknown: that is an error, not a dropped row."""
+    got = edges.agg(*[F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(c) for c in columns]).first()
     for c in columns:
-        if has_rows(edges.where(F.col(c).isNull())):
+        if got[c]:
             raise InvalidTable(f"unknown vertex in {c}")
 
 
+def vertex_facts(vertices: DataFrame) -> DataFrame:
+    """One row of what is checked of vertices: how many, the ends of their ids, the most of one id and of one entity."""
+    ids = vertices.select(F.lit(0).alias("k"), F.col("vertex_id").alias("id"), F.lit(None).cast("string").alias("e"))
+    both = ids.union(vertices.select(F.lit(1), F.lit(None).cast("long"), F.col("entity_id"))).groupBy("k", "id", "e").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k, x: F.when(F.col("k") == k, x)
+    return both.agg(
+        F.coalesce(F.sum(of(0, F.col("n"))), F.lit(0)).alias("n"), F.min(of(0, F.col("id"))).alias("lo"), F.max(of(0, F.col("id"))).alias("hi"),
+        F.coalesce(F.max(of(0, F.col("n"))), F.lit(0)).alias("most_ids"), F.coalesce(F.max(of(1, F.col("n"))), F.lit(0)).alias("most_entities"),
+    )
+
+
 def check_dense(vertices: DataFrame) -> int:
-    """Vertex ids must be 0 to n - 1, each once, and entities distinct; returns n."""
-    got = vertices.agg(F.count(F.lit(1)).alias("n"), F.min("vertex_id").alias("lo"), F.max("vertex_id").alias("hi")).first()
-    if has_rows(duplicates(vertices, "vertex_id")):
+    """Vertex ids must be 0 to n - 1, each once, and entities distinct; returns n, from one job."""
+    got = vertex_facts(vertices).first()
+    if got["most_ids"] > 1:
         raise InvalidTable("duplicate vertex id")
     if got["n"] and (got["lo"], got["hi"]) != (0, got["n"] - 1):
         raise InvalidTable("vertex ids are not dense")
-    if has_rows(duplicates(vertices, "entity_id")):
+    if got["most_entities"] > 1:
         raise InvalidTable("duplicate entity in the vertex table")
     return got["n"]
 
 
+def adjacency(vertices: DataFrame, edges: DataFrame, chunk: int) -> DataFrame:
+    """(vertex_id, offset, degree): where a vertex's edges begin among all edges by source id, and how many
+    there are; summed within chunks of ``chunk`` vertices and over the chunks before, of which there are few."""
+    degrees = edges.groupBy(F.col("source_id").alias("vertex_id")).agg(F.count(F.lit(1)).alias("degree"))
+    every = vertices.select("vertex_id").join(degrees, "vertex_id", "left").select("vertex_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    every = every.withColumn("chunk", F.floor(F.col("vertex_id") / chunk).cast("long"))
+    upto = lambda w: F.coalesce(F.sum("degree").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = every.groupBy("chunk").agg(F.sum("degree").alias("degree")).select("chunk", upto(Window.orderBy("chunk")).alias("begin"))
+    return every.withColumn("within", upto(Window.partitionBy("chunk").orderBy("vertex_id"))).join(chunks, "chunk").select("chunk", "vertex_id", (F.col("begin") + F.col("within")).alias("offset"), "degree")
+
+
 def canonical_facts(rows: DataFrame) -> DataFrame:
     return rows.orderBy(COLUMNS[0])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidIdentity, InvalidRelationSchema, InvalidTable, RelationMismatch, ResourceLimit, UnsupportedShape
@@ -29,6 +29,22 @@ class PathRows:
     node_types: dict[str, str]
 
 
+def with_position(rows: DataFrame) -> DataFrame:
+    """Ordered rows with ``position``, their place from 1, without a task that sees them all.
+
+    A sort leaves its ranges in order of partition, so a row's place is its place in its partition after
+    the rows of those before. The sorted rows are persisted, so that both readings see one layout.
+    """
+    row = F.monotonically_increasing_id()
+    kept = rows.withColumn("__row", row).persist()
+    part = F.shiftright("__row", 33)
+    counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a partition
+    placed = kept.join(F.broadcast(offsets), part == F.col("__part"))
+    return placed.select(*[exact(c) for c in rows.columns], (F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("position"))
+
+
 def _one_path(query: Query, most: int) -> Path:
     if query.aggregations or query.grouping or query.ordering or query.distinct or query.limit is not None or query.offset is not None:
         raise UnsupportedShape("only an unordered RETURN of all rows, without aggregation or pages")

@@ -29,20 +29,9 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def dangling(edges: DataFrame, ids: DataFrame, *endpoints: str, id: str = "entity_id") -> DataFrame:
-    """Distinct endpoint values that no identifier matches."""
-    ends = reduce(DataFrame.union, [edges.select(exact(e).alias("endpoint")) for e in endpoints])
-    return ends.join(ids.select(exact(id).alias("endpoint")), "endpoint", "left_anti").distinct()
-
-
-def carried_bytes(columns: list[Column]) -> Column:
-    """Bytes a columnar table of strings takes: values, 4-byte offsets and validity bits, summed over rows."""
-    values = reduce(Column.__add__, [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns])
-    return values + F.count(F.lit(1)) * (4 * len(columns)) + F.ceil(F.count(F.lit(1)) / 8) * len(columns)
-
-
-def _count(condition: Column) -> Column:
-    return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+def carried_bytes(values, rows, columns: int):
+    """Bytes a columnar table of strings takes: values, 4-byte offsets and validity bits."""
+    return values + rows * (4 * columns) + (rows + 7) // 8 * columns
 
 
 def check_columns(entities: list[EntityTable], relations: list[RelationTable]) -> None:
@@ -67,18 +56,49 @@ def check_catalogs(entities: list[EntityTable], relations: list[RelationTable],
         raise CatalogMismatch("the tables are not those of the bound catalogs")
 
 
-def table_facts(name: str, rows: DataFrame, ids: list[str], required: list[str]) -> DataFrame:
-    """One row: name, rows, bytes, null ids, malformed ids, nulls in required columns."""
-    total = lambda conditions: reduce(Column.__add__, map(_count, conditions), F.lit(0))
-    return rows.agg(
-        F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), carried_bytes([exact(c) for c in rows.columns]).alias("bytes"),
-        total([exact(c).isNull() for c in ids]).alias("null_ids"), total([~is_id(exact(c), "entity") & exact(c).isNotNull() for c in ids]).alias("bad_ids"),
-        total([exact(c).isNull() for c in required]).alias("nulls"),
-    )
+def id_uses(entities: list[EntityTable], relations: list[RelationTable]) -> DataFrame:
+    """One row per identifier that any table has: how many entities have it (``times``), and what the rows
+    that it heads add to the counts of their tables. A duplicate has more than one time, a dangling endpoint none.
+
+    This one grouping is the whole of validation: ``input_facts`` sums it up.
+    """
+    flag = lambda c: c.cast("long")
+    tables = [(t, ["entity_id"], [p.name for p in t.schema.properties if not p.nullable], 1) for t in entities] + [(t, t.rows.columns, [], 0) for t in relations]
+    parts = []
+    for i, (t, ids, required, k) in enumerate(tables):
+        size = reduce(Column.__add__, [F.coalesce(F.octet_length(exact(c)), F.lit(0)).cast("long") for c in t.rows.columns])
+        nulls = reduce(Column.__add__, [flag(exact(c).isNull()) for c in required], F.lit(0).cast("long"))
+        counts = [F.lit(1).cast("long") if j == i else F.lit(0).cast("long") for j in range(len(tables))]
+        for c in ids:  # a row of two endpoints is counted with its first
+            head = c == ids[0]
+            facts = [size, nulls, *counts] if head else [F.lit(0).cast("long")] * (2 + len(tables))
+            bad = [flag(exact(c).isNull()) * k, flag(exact(c).isNull()) * (1 - k), flag(~is_id(exact(c), "entity") & exact(c).isNotNull())]
+            named = zip(["value_bytes", "required_nulls", *[f"rows_{j}" for j in range(len(tables))]], facts)
+            names = zip(["null_ids", "null_endpoints", "bad_ids"], bad)
+            parts.append(t.rows.select(exact(c).alias("id"), F.lit(k).cast("long").alias("times"), *[x.cast("long").alias(n) for n, x in [*named, *names]]))
+    every = reduce(DataFrame.union, parts)
+    return every.groupBy("id").agg(*[F.sum(c).alias(c) for c in every.columns[1:]])
+
+
+def input_facts(entities: list[EntityTable], relations: list[RelationTable]) -> DataFrame:
+    """One row of what validation inspects: sums over all tables, rows of each, and the most and least times an identifier is one."""
+    uses = id_uses(entities, relations)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in uses.columns[2:]]
+    return uses.agg(*sums, F.coalesce(F.max("times"), F.lit(0)).alias("most_times"), F.coalesce(F.min("times"), F.lit(1)).alias("least_times"))
+
+
+def duplicate_ids(entities: list[EntityTable]) -> DataFrame:
+    """Identifiers that more than one entity has, with how many."""
+    return id_uses(entities, []).where("times > 1").select("id", "times")
+
+
+def dangling_endpoints(entities: list[EntityTable], relations: list[RelationTable]) -> DataFrame:
+    """Endpoints that no entity has, each once."""
+    return id_uses(entities, relations).where("times = 0").select("id")
 
 
 def validate_tables(entities: list[EntityTable], relations: list[RelationTable], limits: QueryLimits, entity_digest: str | None = None, relation_digest: str | None = None) -> dict[str, int]:
-    """Check everything a query relies on; returns the rows of every relation by its id.
+    """Check everything a query relies on, in one job; returns the rows of every relation by its id.
 
     All supplied tables count, whether a query uses them or not.
     """
@@ -86,29 +106,25 @@ def validate_tables(entities: list[EntityTable], relations: list[RelationTable],
     check_columns(entities, relations)
     if entity_digest is not None:
         check_catalogs(entities, relations, entity_digest, relation_digest)
-    stats = [table_facts(f"e{i}", t.rows, ["entity_id"], [p.name for p in t.schema.properties if not p.nullable]) for i, t in enumerate(entities)]
-    stats += [table_facts(f"r{i}", t.rows, t.rows.columns, []) for i, t in enumerate(relations)]
-    found = {r["name"]: r for r in reduce(DataFrame.union, stats).collect()} if stats else {}
-    if sum(r["n"] for r in found.values()) > limits.max_input_rows or sum(r["bytes"] for r in found.values()) > limits.max_input_bytes:
+    tables = [*entities, *relations]
+    if not tables:
+        return {}
+    found = input_facts(entities, relations).first()
+    rows = [found[f"rows_{i}"] for i in range(len(tables))]
+    overhead = sum(carried_bytes(0, n, len(t.rows.columns)) for n, t in zip(rows, tables))
+    if sum(rows) > limits.max_input_rows or found["value_bytes"] + overhead > limits.max_input_bytes:
         raise ResourceLimit("input rows or bytes")
-    for name, r in found.items():
-        if r["null_ids"]:
-            raise InvalidTable("null entity id" if name[0] == "e" else "null edge endpoint")
-        if r["bad_ids"]:
-            raise InvalidIdentity(f"{r['bad_ids']} malformed identifiers")
-        if r["nulls"]:
-            raise InvalidTable("null in a required property")
-    tagged = [t.rows.select(F.col("entity_id").alias("v"), F.lit(1).alias("k")) for t in entities]
-    tagged += [t.rows.select(exact(c).alias("v"), F.lit(0).alias("k")) for t in relations for c in t.rows.columns]
-    if tagged:
-        # one grouping finds both: an id that is there twice, and an endpoint that is no id
-        times = reduce(DataFrame.union, tagged).groupBy("v").agg(F.sum("k").alias("times"))
-        got = times.agg(F.max("times").alias("most"), F.min("times").alias("least")).first()
-        if (got["most"] or 0) > 1:
-            raise InvalidTable("duplicate entity id")
-        if got["least"] == 0:
-            raise InvalidTable("dangling edge endpoint")
-    return {t.schema.id: found[f"r{i}"]["n"] for i, t in enumerate(relations)}
+    for name, error in (
+        ("null_ids", InvalidTable("null entity id")), ("null_endpoints", InvalidTable("null edge endpoint")),
+        ("bad_ids", InvalidIdentity(f"{found['bad_ids']} malformed identifiers")), ("required_nulls", InvalidTable("null in a required property")),
+    ):
+        if found[name]:
+            raise error
+    if found["most_times"] > 1:
+        raise InvalidTable("duplicate entity id")
+    if found["least_times"] == 0:
+        raise InvalidTable("dangling edge endpoint")
+    return {t.schema.id: n for t, n in zip(relations, rows[len(entities) :])}
 
 
 def check_table_set(supplied: set[str], declared: set[str]) -> None:

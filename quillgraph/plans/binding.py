@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..errors import BindingError
+from ..errors import BindingError, InvalidTable, ResourceLimit
 from ..functions.cid import Cid
 from .ir import ANY, CatalogQuery, Parameter, Query
 
@@ -103,3 +105,43 @@ def project_output(bound: BoundQuery, engine: EngineProfile, rows: DataFrame) ->
     if engine != bound.engine:
         raise BindingError(f"bound to engine {bound.engine.name}, run by {engine.name}")
     return QueryOutput(bound, rows)
+
+
+@dataclass(frozen=True)
+class ResultLimits:
+    max_rows: int
+    max_cells: int
+
+
+@dataclass(frozen=True)
+class Admission:
+    """A result within its limits: its rows in order, and a digest of its columns and rows."""
+
+    columns: tuple[str, ...]
+    rows: tuple[tuple, ...]
+    digest: str
+
+
+def admit_rows(rows: DataFrame, columns: list[str], limits: ResultLimits) -> Admission:
+    """``rows`` in the order they come, if they have exactly ``columns`` of strings and fit ``limits``.
+
+    At most one row more than the limit is fetched. The digest is SHA-256 over the columns' names and each
+    row as canonical JSON, so equal results in equal order have equal digests.
+    """
+    if min(limits.max_rows, limits.max_cells) <= 0:
+        raise ResourceLimit("a result limit of zero")
+    if rows.columns != columns or any(kind != "string" for _, kind in rows.dtypes):
+        raise InvalidTable(f"result columns {rows.dtypes}, not strings {columns}")
+    most = min(limits.max_rows, limits.max_cells // max(1, len(columns)))
+    found = tuple(map(tuple, rows.limit(most + 1).collect()))
+    if len(found) > most:
+        raise ResourceLimit("result rows or cells")
+    running = hashlib.sha256()
+    for row in (tuple(columns), *found):
+        running.update(json.dumps(row, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass") + b"\n")
+    return Admission(tuple(columns), found, running.hexdigest())
+
+
+def admit_result(output: QueryOutput, limits: ResultLimits) -> Admission:
+    """The result of a bound query, checked against its projections and limits."""
+    return admit_rows(output.rows, [p.alias for p in output.bound.query.query.projections], limits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +10,16 @@ from .catalog import EntityCatalog, RelationCatalog, SemanticSnapshot
 from .functions.cid import content_hash
 from .functions.ids import typed_id, typed_id_column
 from .operators import closure, facts, graph
-from .operators.paths import one_hop, property_path
+from .operators.paths import one_hop, property_path, with_position
 from .operators.tables import EntityTable, RelationTable
-from .operators.validate import carried_bytes, dangling, duplicates
+from .operators.validate import dangling_endpoints as find_dangling
+from .operators.validate import duplicate_ids, duplicates, input_facts, validate_tables
+from .plans.binding import ResultLimits, admit_rows
 from .plans.gql import compile_source
+from .plans import limits as budgets
 from .plans.ir import Binary, CatalogQuery, Edge, Endpoint, Literal, Node, Path, Projection, Property, Query
+from .sources.graph_files import PreparedGraph, read_offsets, write_graph
+from .sources.scratch import table_path
 from .types import BOOLEAN, ENTITY, INTEGER, STRING, EntitySchema, RelationField, RelationSchema, list_of, record
 
 QUERIES: dict = {}
@@ -89,8 +95,7 @@ def _path_query(kinds: list[str], names: list[str], returned: dict[str, tuple[st
 def _run_path(spark, sf, kinds, names, returned, where=(), replaced=None) -> DataFrame:
     query = _path_query(kinds, names, returned, where)
     entities = [entity_rows(spark, sf, k, **(replaced or {}).get(k, {})) for k in dict.fromkeys(kinds)]
-    # rows are compared as a bag and written on, so the final sort is left out
-    return property_path(query, entities, [relation_rows(spark, sf, n) for n in names], ordered=False).rows
+    return property_path(query, entities, [relation_rows(spark, sf, n) for n in names]).rows
 
 
 def _register(name: str, oracle: str | None):
@@ -124,6 +129,16 @@ def path2_multiplicity(spark, sf):
     return _run_path(spark, sf, *_FLAGSHIP, {"priority": ("b", "priority"), "part_type": ("c", "type")}, [("c", "brand", "Brand#11")])
 
 
+@_register(
+    "path2_ordered",
+    f"SELECT *, row_number() OVER (ORDER BY brand NULLS FIRST, priority NULLS FIRST, segment NULLS FIRST) AS position FROM (SELECT nullif(p_brand, 'Brand#11') AS brand, o_orderpriority AS priority, c_mktsegment AS segment {_FLAGSHIP_FROM} WHERE c_mktsegment = 'BUILDING')",
+)
+def path2_ordered(spark, sf):
+    """Every row with its place in the result's order: ascending by each alias in turn, nulls first."""
+    returned = {"brand": ("c", "brand"), "priority": ("b", "priority"), "segment": ("a", "segment")}
+    return with_position(_run_path(spark, sf, *_FLAGSHIP, returned, [("a", "segment", "BUILDING")], {"Part": {"brand": F.nullif(F.col("p_brand"), F.lit("Brand#11"))}}))
+
+
 @_register("path2_empty_result", f"{_SPB_SQL} {_FLAGSHIP_FROM} WHERE c_mktsegment = 'NO SUCH SEGMENT'")
 def path2_empty_result(spark, sf):
     return _run_path(spark, sf, *_FLAGSHIP, _SPB, [("a", "segment", "NO SUCH SEGMENT")])
@@ -197,7 +212,7 @@ def wrong_type_endpoint_drops(spark, sf):
     query = _path_query(kinds, names, {"customer": ("a", "name"), "brand": ("b", "brand")})
     tables = [entity_rows(spark, sf, k) for k in ("Customer", "Part", "Order")]
     query = CatalogQuery(query.query, query.relations, EntityCatalog([t.schema for t in tables]))
-    return property_path(query, tables, [relation_rows(spark, sf, "PLACED")], ordered=False).rows
+    return property_path(query, tables, [relation_rows(spark, sf, "PLACED")]).rows
 
 
 @_register("source_text_query", f"SELECT c_name AS customer, p_name AS \"c.name\" {_FLAGSHIP_FROM} WHERE c_mktsegment = 'MACHINERY' AND p_brand = 'Brand#22'")
@@ -206,7 +221,7 @@ def source_text_query(spark, sf):
     text = "MATCH (a:Customer)-[:PLACED]->(b:Order)-[:CONTAINS]->(c:Part) WHERE a.segment = 'MACHINERY' AND c.brand = 'Brand#22' RETURN a.name AS customer, c.name"
     query = CatalogQuery(compile_source(text, relations, entities), relations, entities)
     kinds, names = _FLAGSHIP
-    return property_path(query, [entity_rows(spark, sf, k) for k in kinds], [relation_rows(spark, sf, n) for n in names], ordered=False).rows
+    return property_path(query, [entity_rows(spark, sf, k) for k in kinds], [relation_rows(spark, sf, n) for n in names]).rows
 
 
 @_register("snapshot_query", "SELECT s_name AS supplier, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
@@ -224,6 +239,78 @@ def snapshot_query(spark, sf):
     return query_source(spark, text, None, root.cid, relations, entities, snapshot, MemoryStore(), remote).rows
 
 
+_SUPPLIED = "SELECT s_name AS supplier, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+def _supplied(spark, sf) -> DataFrame:
+    return _run_path(spark, sf, ["Supplier", "Nation"], ["SUPP_NATION"], {"supplier": ("a", "name"), "nation": ("b", "name")})
+
+
+@_register("car_round_trip", _SUPPLIED)
+def car_round_trip(spark, sf):
+    """A snapshot as one archive file, imported into an empty store and queried there."""
+    from .sources.blocks import MemoryStore
+    from .sources.car import encode_archive, import_archive
+    from .sources.snapshot import PropertyInput, materialize_snapshot, query_source
+
+    relations, entities = _catalogs(["Supplier", "Nation"], ["SUPP_NATION"])
+    snapshot, one, other = SemanticSnapshot(GENERATION), MemoryStore(), MemoryStore()
+    given = PropertyInput(relations, entities, snapshot, [entity_rows(spark, sf, k) for k in ("Supplier", "Nation")], [relation_rows(spark, sf, "SUPP_NATION")])
+    root = materialize_snapshot(given, one)
+    archive = encode_archive(root, {c: one.get(c, 1 << 30) for c in root.manifest.references()})
+    import_archive(archive, relations, entities, other)
+    text = "MATCH (s:Supplier)-[:SUPP_NATION]->(n:Nation) RETURN s.name AS supplier, n.name AS nation"
+    return query_source(spark, text, None, root.cid, relations, entities, snapshot, other).rows
+
+
+_SUPPLIER_FACT = _sql_id("fact", "CAST(s_suppkey AS VARCHAR)")
+
+
+def _supplier_facts(spark, sf) -> DataFrame:
+    rows = _table(spark, sf, "supplier").select(
+        typed_id_column("fact", F.col("s_suppkey").cast("string")).alias("fact_id"), F.lit(GENERATION).alias("generation_id"), F.lit(typed_id("rule", "supply")).alias("authority"),
+        F.lit(typed_id("derivation", "run")).alias("provenance"), F.lit("complete").alias("completeness"), F.lit(None).cast("string").alias("invalidated_by"),
+        _key("Supplier", "s_suppkey").alias("source"), _key("Nation", "s_nationkey").alias("target"),
+    )
+    return facts.encode_facts(RELATION_SCHEMAS["SUPP_NATION"], rows)
+
+
+_SUPPLIER_FACTS = f"SELECT {_SUPPLIER_FACT} AS __qg_fact_id, {_sql_key('Supplier', 's_suppkey')} AS source, {_sql_key('Nation', 's_nationkey')} AS target FROM supplier"
+
+
+@_register("ipc_file_round_trip", _SUPPLIER_FACTS)
+def ipc_file_round_trip(spark, sf):
+    from .sources import arrow_ipc as ipc
+
+    relation = RELATION_SCHEMAS["SUPP_NATION"]
+    wanted = ipc.fact_arrow_schema(relation)
+    data = ipc.write_file(ipc.from_spark(graph.canonical_facts(_supplier_facts(spark, sf)), wanted))
+    rows = ipc.to_spark(spark, ipc.read_file(data, wanted).replace_schema_metadata(None))
+    facts.check_facts(relation, rows)
+    return rows.select("__qg_fact_id", "source", "target")
+
+
+@_register("multi_batch_scan", _SUPPLIER_FACTS)
+def multi_batch_scan(spark, sf):
+    """One table from a stream per nation, put together again."""
+    from .sources import arrow_ipc as ipc
+
+    wanted = ipc.fact_arrow_schema(RELATION_SCHEMAS["SUPP_NATION"])
+    whole = ipc.from_spark(_supplier_facts(spark, sf), wanted)
+    streams = [ipc.write_stream(whole.filter(pc.equal(whole["target"], t))) for t in whole["target"].unique()]
+    return ipc.to_spark(spark, ipc.concat([ipc.read_stream(x, wanted) for x in streams], wanted).replace_schema_metadata(None)).select("__qg_fact_id", "source", "target")
+
+
+_ROW_JSON = "'[\"' || supplier || '\",\"' || nation || '\"]' || chr(10)"
+
+
+@_register("result_admission", f"SELECT count(*) AS n, sha256('[\"supplier\",\"nation\"]' || chr(10) || string_agg({_ROW_JSON}, '' ORDER BY supplier, nation)) AS digest FROM ({_SUPPLIED})")
+def result_admission(spark, sf):
+    """A result within its limits, and its digest in the result's order."""
+    admitted = admit_rows(_supplied(spark, sf), ["supplier", "nation"], ResultLimits(1 << 20, 1 << 21))
+    return spark.createDataFrame([(len(admitted.rows), admitted.digest)], "n long, digest string")
+
+
 @_register("entity_table", f"SELECT {_sql_key('Document', 'doc_id')} AS entity_id, lang, source FROM documents")
 def entity_table(spark, sf):
     return entity_rows(spark, sf, "Document").rows
@@ -372,14 +459,61 @@ def edge_facts_round_trip(spark, sf):
     return graph.facts_from_edges(_GRAPH, _edges(spark, sf)).select("__qg_fact_id", "__qg_provenance", "__qg_invalidated_by", "source", "target")
 
 
-@_register("dense_vertex_check", f"{_VERTICES} SELECT count(*) AS n, min(vertex_id) AS lo, max(vertex_id) AS hi, count(DISTINCT vertex_id) AS ids FROM i")
+@_register("dense_vertex_check", f"{_VERTICES} SELECT count(*) AS n, min(vertex_id) AS lo, max(vertex_id) AS hi, (SELECT max(c) FROM (SELECT count(*) AS c FROM i GROUP BY vertex_id)) AS most_ids, (SELECT max(c) FROM (SELECT count(*) AS c FROM i GROUP BY entity_id)) AS most_entities FROM i")
 def dense_vertex_check(spark, sf):
-    return graph.vertex_index(_edges(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.min("vertex_id").alias("lo"), F.max("vertex_id").alias("hi"), F.countDistinct("vertex_id").alias("ids"))
+    vertices = graph.vertex_index(_edges(spark, sf))
+    graph.check_dense(vertices)
+    return graph.vertex_facts(vertices)
+
+
+@_register("edge_checks", "SELECT count(*) AS n, 1 AS most, 0 AS other, 0 AS torn, 0 AS lost FROM orders")
+def edge_checks(spark, sf):
+    graph.check_edges(_GRAPH, _edges(spark, sf))
+    return graph.edge_facts(_GRAPH, _edges(spark, sf))
+
+
+@_register(
+    "fact_checks",
+    "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 9 = 0) AS missing, count(*) FILTER (o_orderkey % 11 = 0) AS own, 2 AS most, max(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) * 2 AS contexts FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders)",
+)
+def fact_checks(spark, sf):
+    """What is counted of facts of which every row is there twice, and every few break a rule."""
+    once = _order_facts(spark, sf)
+    number = F.col("o_orderkey")
+    broken = _table(spark, sf, "orders").select(typed_id_column("fact", number.cast("string")).alias("__qg_fact_id"), number)
+    twice = once.union(once).join(broken.union(broken).distinct(), "__qg_fact_id").select(
+        F.col("__qg_fact_id"), "__qg_generation_id", "__qg_authority", "__qg_provenance",
+        F.when(number % 7 == 0, "some").otherwise(F.lit("complete")).alias("__qg_completeness"),
+        F.when(number % 11 == 0, F.col("__qg_fact_id")).alias("__qg_invalidated_by"), F.when(number % 9 != 0, F.col("source")).alias("source"), "target",
+    )
+    return facts.fact_checks(_PLACED, twice)
+
+
+@_register("graph_dataset_round_trip", f"SELECT {_FACT} AS __qg_fact_id, {_AUTHORITY} AS __qg_authority, {_COMPLETE} AS __qg_completeness, {_UNDO} AS __qg_invalidated_by, {_CUSTOMER} AS source, {_ORDER} AS target FROM orders")
+def graph_dataset_round_trip(spark, sf):
+    """Facts written as a graph dataset, read and checked again."""
+    path = f"{table_path(spark, 'graph')}/g"
+    made = write_graph(path, _GRAPH, _edges(spark, sf), chunk=1 << 12)
+    prepared = PreparedGraph(spark, path, _GRAPH, made.vertices, made.edges)
+    return prepared.admit(_GRAPH).select("__qg_fact_id", "__qg_authority", "__qg_completeness", "__qg_invalidated_by", "source", "target")
+
+
+@_register(
+    "graph_adjacency",
+    f"{_VERTICES}, d AS (SELECT i.vertex_id, count(o_orderkey) AS degree FROM i LEFT JOIN orders ON i.entity_id = {_CUSTOMER} GROUP BY 1) "
+    "SELECT vertex_id, coalesce(sum(degree) OVER (ORDER BY vertex_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", degree FROM d",
+)
+def graph_adjacency(spark, sf):
+    path = f"{table_path(spark, 'graph')}/g"
+    write_graph(path, _GRAPH, _edges(spark, sf), chunk=1 << 12)
+    return read_offsets(spark, path).select("vertex_id", "offset", "degree")
 
 
-@_register("dup_entity_ids", f"SELECT {_sql_key('Customer', 'o_custkey')} AS entity_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+@_register("dup_entity_ids", f"SELECT {_sql_key('Customer', 'o_custkey')} AS id, count(*) AS times FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dup_entity_ids(spark, sf):
-    return duplicates(_table(spark, sf, "orders").select(_key("Customer", "o_custkey").alias("entity_id")), "entity_id")
+    """The orders' customers read as entities: those of several orders are there several times."""
+    schema = EntitySchema(typed_id("entity_type", "Buyer"), "Buyer", (RelationField("status", STRING, True),))
+    return duplicate_ids([EntityTable(schema, _table(spark, sf, "orders").select(_key("Customer", "o_custkey").alias("entity_id"), F.col("o_orderstatus").alias("status")))])
 
 
 @_register("dup_fact_ids", f"SELECT {_sql_id('fact', '(l_orderkey || ' + chr(39) + '/' + chr(39) + ' || l_linenumber)')} AS fact_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -393,39 +527,41 @@ def dup_edges(spark, sf):
     return duplicates(relation_rows(spark, sf, "CONTAINS").rows, "source", "target")
 
 
-@_register("dangling_endpoints", f"SELECT DISTINCT {_sql_key('Part', 'l_partkey')} AS endpoint FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#11')")
+@_register("dangling_endpoints", f"SELECT DISTINCT {_sql_key('Part', 'l_partkey')} AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#11')")
 def dangling_endpoints(spark, sf):
     """Parts of one brand are left out, so the edges to them dangle."""
-    kept = _table(spark, sf, "part").where("p_brand <> 'Brand#11'").select(_key("Part", "p_partkey").alias("entity_id"))
-    return dangling(relation_rows(spark, sf, "CONTAINS").rows, kept, "target")
+    part = entity_rows(spark, sf, "Part")
+    kept = EntityTable(part.schema, part.rows.where("brand <> 'Brand#11'"))
+    return find_dangling([entity_rows(spark, sf, "Order"), kept], [relation_rows(spark, sf, "CONTAINS")])
 
 
-@_register("null_required_property", "SELECT count(*) AS rows, count(*) FILTER (p_brand = 'Brand#11') AS nulls FROM part")
+@_register("null_required_property", "SELECT count(*) AS rows_0, count(*) FILTER (p_brand = 'Brand#11') AS required_nulls FROM part")
 def null_required_property(spark, sf):
-    brand = F.nullif(F.col("p_brand"), F.lit("Brand#11"))
-    return _table(spark, sf, "part").agg(F.count(F.lit(1)).alias("rows"), F.count_if(brand.isNull()).alias("nulls"))
+    """What validation counts of parts whose brand is required and sometimes null."""
+    schema = EntitySchema(typed_id("entity_type", "Branded"), "Branded", (RelationField("brand", STRING, False),))
+    rows = _table(spark, sf, "part").select(_key("Part", "p_partkey").alias("entity_id"), F.nullif(F.col("p_brand"), F.lit("Brand#11")).alias("brand"))
+    return input_facts([EntityTable(schema, rows)], []).select("rows_0", "required_nulls")
 
 
 @_register("join_bound", "SELECT (SELECT count(*) FROM orders) AS placed, (SELECT count(*) FROM lineitem) AS contains, (SELECT count(*) FROM orders) * (SELECT count(*) FROM lineitem) AS bound")
 def join_bound(spark, sf):
-    counts = [_table(spark, sf, t).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for t, name in (("orders", "placed"), ("lineitem", "contains"))]
-    of = lambda name: F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name)
-    return counts[0].union(counts[1]).agg(of("placed"), of("contains")).withColumn("bound", F.col("placed") * F.col("contains"))
+    kinds, names = _FLAGSHIP
+    counts = validate_tables([entity_rows(spark, sf, k) for k in kinds], [relation_rows(spark, sf, n) for n in names], budgets.UNBOUNDED)
+    sizes = [counts[RELATION_SCHEMAS[n].id] for n in names]
+    return spark.createDataFrame([(*sizes, budgets.join_bound(sizes, 3, budgets.UNBOUNDED))], "placed long, contains long, bound long")
+
+
+_ID_BYTES = len(typed_id("entity", "x"))
 
 
 @_register(
     "input_totals",
-    " UNION ALL ".join(
-        f"SELECT '{t}' AS name, count(*) AS rows, CAST(sum(strlen({c})) + count(*) * 4 + ceil(count(*) / 8.0) AS BIGINT) AS bytes FROM {t}"
-        for t, c in (("customer", "c_name"), ("part", "p_name"), ("documents", "lang"))
-    ),
+    f"SELECT (SELECT count(*) FROM customer) AS rows_0, (SELECT count(*) FROM part) AS rows_1, (SELECT count(*) FROM orders) AS rows_2, CAST((SELECT sum({_ID_BYTES} + strlen(c_name) + strlen(c_mktsegment)) FROM customer) "
+    f"+ (SELECT sum({_ID_BYTES} + strlen(p_name) + strlen(p_brand) + strlen(p_type)) FROM part) + (SELECT 2 * {_ID_BYTES} * count(*) FROM orders) AS BIGINT) AS value_bytes, 0 AS null_ids, 0 AS bad_ids, 1 AS most_times",
 )
 def input_totals(spark, sf):
-    made = None
-    for t, c in (("customer", "c_name"), ("part", "p_name"), ("documents", "lang")):
-        row = _table(spark, sf, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("rows"), carried_bytes([F.col(c)]).cast("long").alias("bytes"))
-        made = row if made is None else made.union(row)
-    return made
+    found = input_facts([entity_rows(spark, sf, k) for k in ("Customer", "Part")], [relation_rows(spark, sf, "PLACED")])
+    return found.select("rows_0", "rows_1", "rows_2", "value_bytes", "null_ids", "bad_ids", "most_times")
 
 
 @_register("content_hash", "SELECT page_id, sha256(html) AS digest, CAST(strlen(html) AS BIGINT) AS length FROM pages")
@@ -452,10 +588,11 @@ def closure_refs(spark, sf):
     return closure.referenced(t("region", "r_name"), t("nation", "n_name"), t("part", "p_brand"))
 
 
-@_register("closure_missing", "SELECT DISTINCT sha256(p_brand) AS cid FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 20)")
+@_register("closure_missing", "SELECT DISTINCT sha256(p_brand) AS cid FROM part WHERE p_brand = 'Brand#11'")
 def closure_missing(spark, sf):
+    """A store that lost the blocks of one brand."""
     part = _table(spark, sf, "part")
-    return closure.missing_blocks(_cids(part, "p_brand").distinct(), _cids(part.where("p_partkey <= 20"), "p_brand").distinct())
+    return closure.missing_blocks(_cids(part, "p_brand").distinct(), _cids(part.where("p_brand <> 'Brand#11'"), "p_brand").distinct())
 
 
 @_register("corrupt_blocks", "SELECT sha256(html) AS cid FROM pages WHERE page_id % 7 = 0 OR page_id % 11 = 0")
@@ -469,17 +606,22 @@ def corrupt_blocks(spark, sf):
     return closure.corrupt_blocks(blocks)
 
 
-_RECORDS = [("b1", "pending", 0, ["b1", "x"]), ("b2", "synced", 10, ["b2", "x", "y"]), ("b3", "pending", 0, ["b3"]), ("b4", "synced", 90, ["b4", "z"]), ("b5", "synced", 20, ["b5", "y", "z"])]
-_RECORDS_SQL = "r(root, state, protected_until, blocks) AS (VALUES " + ", ".join(f"('{r}', '{s}', {p}, {b})" for r, s, p, b in _RECORDS) + ")"
+# orders as outbox records: open ones wait to be synced; each protects its own block, its customer's and its priority's
+_RECORDS_SQL = "r AS (SELECT 'o/' || o_orderkey AS root, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'synced' END AS state, o_orderkey % 100 AS protected_until, ['o/' || o_orderkey, 'c/' || o_custkey, 'p/' || o_orderpriority] AS blocks FROM orders)"
 
 
-def _records(spark) -> DataFrame:
-    return spark.createDataFrame(_RECORDS, "root string, state string, protected_until long, blocks array<string>")
+def _records(spark, sf) -> DataFrame:
+    text = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
+    return _table(spark, sf, "orders").select(
+        text("o", "o_orderkey").alias("root"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("synced").alias("state"),
+        (F.col("o_orderkey") % 100).alias("protected_until"), F.array(text("o", "o_orderkey"), text("c", "o_custkey"), text("p", "o_orderpriority")).alias("blocks"),
+    )
 
 
-@_register("outbox_pending", f"WITH {_RECORDS_SQL} SELECT root FROM r WHERE state = 'pending' ORDER BY root LIMIT 2")
+@_register("outbox_pending", f"WITH {_RECORDS_SQL} SELECT root FROM r WHERE state = 'pending' ORDER BY root LIMIT 16")
 def outbox_pending(spark, sf):
-    return closure.pending(_records(spark), 2).select("root")
+    """The first batch of a replay; its size is the feature."""
+    return closure.pending(_records(spark, sf), 16).select("root")
 
 
 @_register(
@@ -488,7 +630,7 @@ def outbox_pending(spark, sf):
     "SELECT DISTINCT cid FROM e WHERE done AND cid NOT IN (SELECT cid FROM e WHERE NOT done)",
 )
 def outbox_gc(spark, sf):
-    return closure.collectable(_records(spark), 50)
+    return closure.collectable(_records(spark, sf), 50)
 
 
 @_register("outbox_capacity", "SELECT (SELECT CAST(sum(strlen(html)) AS BIGINT) FROM pages WHERE page_id % 2 = 0) AS held_bytes, (SELECT CAST(sum(strlen(html)) AS BIGINT) FROM pages WHERE page_id % 2 = 1 AND page_id % 3 = 0) AS new_bytes")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
-import time
+import uuid
 from pathlib import Path
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +111,39 @@ class CacheStore(FileStore):
         return freed
 
 
+def timed(call, seconds: float | None, after=lambda: None):
+    """What ``call`` returns, on a thread of its own, or an error once ``seconds`` have passed. A call cannot
+    be stopped: it goes on unheard, and ``after`` runs only when it has really ended."""
+    done, out = threading.Event(), {}
+
+    def work():
+        try:
+            out["value"] = call()
+        except BaseException as e:  # handed to the caller
+            out["error"] = e
+        finally:
+            after()
+            done.set()
+
+    threading.Thread(target=work, daemon=True).start()
+    if not done.wait(seconds):
+        raise ContentError("deadline")
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
+
+
+#: Schemes of stores where an object appears whole when its writer closes, and a create can be conditional.
+_OBJECT_STORES = ("s3a", "s3", "gs", "abfs", "abfss", "oss", "cosn")
+
+
 class RemoteStore:
-    """Blocks under ``blocks/<cid>`` of any Hadoop file system (object stores included), with a deadline per call."""
+    """Blocks under ``blocks/<cid>`` of any Hadoop file system (object stores included).
+
+    Every call ends within ``deadline`` seconds for its caller. A read takes at most one byte more than it
+    may, whatever length the store lists. A block is created only where none is: object stores are asked
+    for a conditional create, other file systems for a rename that does not replace.
+    """
 
     def __init__(self, spark: SparkSession, root: str, deadline: float = 10.0):
         self.root, self.deadline, self._spark = root.rstrip("/"), deadline, spark
@@ -122,51 +154,75 @@ class RemoteStore:
         return jvm, path, path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
 
     def get(self, cid: Cid, most: int) -> bytes:
-        began = time.monotonic()
+        return _verified(cid, timed(lambda: self._read(cid, most), self.deadline), most)
+
+    def _read(self, cid: Cid, most: int) -> bytes:
         jvm, path, fs = self._open(cid)
         if not fs.exists(path):
             raise NotFound(str(cid))
-        if fs.getFileStatus(path).getLen() > most:
-            raise ResourceLimit(f"{cid} has more than {most} bytes")
         stream = fs.open(path)
         try:
-            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, most + 1)))
         finally:
             stream.close()
-        if time.monotonic() - began > self.deadline:
-            raise ContentError("deadline")
-        return _verified(cid, data, most)
 
     def put(self, cid: Cid, data: bytes) -> None:
         _verified(cid, data, len(data))
+        if not timed(lambda: self._create(cid, data), self.deadline):
+            self.get(cid, len(data))  # somebody's block is there: it must be this one
+
+    def _create(self, cid: Cid, data: bytes) -> bool:
         jvm, path, fs = self._open(cid)
         if fs.exists(path):
-            self.get(cid, len(data))
-            return
-        part = jvm.org.apache.hadoop.fs.Path(f"{self.root}/blocks/.{cid}-{os.getpid()}-{threading.get_ident()}")
-        stream = fs.create(part, True)
+            return False
+        if path.toUri().getScheme() in _OBJECT_STORES:
+            stream = fs.createFile(path).recursive().overwrite(False).opt("fs.option.create.conditional.overwrite", True).build()
+            return self._fill(jvm, stream, data)
+        part = jvm.org.apache.hadoop.fs.Path(f"{self.root}/blocks/.{cid}-{uuid.uuid4().hex}")
+        self._fill(jvm, fs.create(part, False), data)
+        try:
+            none = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("NONE")
+            options = self._spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = none
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self._spark.sparkContext._jsc.hadoopConfiguration()).rename(part, path, options)
+            return True
+        except Py4JJavaError as e:
+            fs.delete(part, False)
+            if not fs.exists(path):
+                raise ContentError(f"{cid} could not be created") from e
+            return False
+
+    @staticmethod
+    def _fill(jvm, stream, data: bytes) -> bool:
+        """Write and close; False if a conditional create lost to another writer."""
         try:
             stream.write(bytearray(data))
-        finally:
             stream.close()
-        if not fs.rename(part, path):
-            fs.delete(part, False)
-            self.get(cid, len(data))
+            return True
+        except Py4JJavaError as e:
+            jvm.org.apache.hadoop.io.IOUtils.closeStream(stream)
+            if "FileAlreadyExists" in str(e.java_exception) or "PreconditionFailed" in str(e.java_exception):
+                return False
+            raise ContentError(str(e.java_exception)) from e
 
 
 class BlockingStore:
-    """At most one job of a store at a time, from whichever threads."""
+    """At most one job of a store at a time, from whichever threads. A caller may stop waiting after
+    ``seconds``; the job keeps the permit until it has really ended."""
 
-    def __init__(self, store: Store):
-        self.store, self._permit = store, threading.Semaphore(1)
+    def __init__(self, store: Store, seconds: float | None = None):
+        self.store, self.seconds, self._permit = store, seconds, threading.Semaphore(1)
+
+    def _run(self, call):
+        if not self._permit.acquire(timeout=self.seconds):
+            raise ContentError("deadline")
+        return timed(call, self.seconds, self._permit.release)
 
     def get(self, cid: Cid, most: int) -> bytes:
-        with self._permit:
-            return self.store.get(cid, most)
+        return self._run(lambda: self.store.get(cid, most))
 
     def put(self, cid: Cid, data: bytes) -> None:
-        with self._permit:
-            self.store.put(cid, data)
+        self._run(lambda: self.store.put(cid, data))
 
 
 def read_through(local: Store, remote: Store | None, cid: Cid, most: int) -> tuple[bytes, str]:

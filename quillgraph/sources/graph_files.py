@@ -1,4 +1,9 @@
-"""Graph datasets: Parquet vertices and edges with a description, published by one rename."""
+"""Graph datasets: Parquet vertices, edges and adjacency offsets in chunks, with a description, published by one rename.
+
+Vertices and offsets lie in folders by chunk of the vertex id, edges in folders by chunk of the source id,
+sorted by source and destination id, so reading one vertex's edges opens one folder. A vertex with very
+many edges spreads over several files of its folder.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidTable, RelationMismatch, ResourceLimit
-from ..operators.graph import EDGE_PROPERTIES, GraphProjection, check_dense, check_edges, check_resolved, facts_from_edges, index_edges, resolve_edges, vertex_index
+from ..operators.graph import EDGE_PROPERTIES, GraphProjection, adjacency, check_dense, check_edges, facts_from_edges, index_edges, resolve_edges, vertex_index
+from .scratch import folder
 
-VERTICES_PER_FILE = 1 << 18
+CHUNK = 1 << 18
 EDGES_PER_FILE = 1 << 22
+_EDGES = "chunk long, source_id long, destination_id long, " + ", ".join(f"{p} string" for p in EDGE_PROPERTIES)
 
 
 @dataclass(frozen=True)
@@ -27,41 +34,41 @@ class GraphSource:
     target_column: str
     vertices: int
     edges: int
+    chunk: int = CHUNK
 
     def metadata(self) -> bytes:
         body = {k: v for k, v in vars(self).items() if k != "root"}
         return json.dumps({"format": "quillgraph-graph", "version": 1, **body}, sort_keys=True).encode()
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
+def _chunk(column: str, size: int):
+    return F.floor(F.col(column) / size).cast("long")
 
-def write_graph(path: str, projection: GraphProjection, edges: DataFrame) -> GraphSource:
-    """Write vertices by dense id and edges with their properties; an existing ``path`` is refused.
 
-    Edges are partitioned and sorted by source id, so an adjacency read prunes by row group.
-    """
+def write_graph(path: str, projection: GraphProjection, edges: DataFrame, chunk: int = CHUNK) -> GraphSource:
+    """Write vertices by dense id, edges with their properties, and offsets; an existing ``path`` is refused."""
     spark = edges.sparkSession
-    jvm, target, fs = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    target, fs = folder(spark, path)
     if fs.exists(target):
         raise InvalidTable(f"{path} exists")
-    check_edges(projection, edges)
+    count = check_edges(projection, edges)
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    vertices = vertex_index(edges)
-    vertices.write.option("maxRecordsPerFile", VERTICES_PER_FILE).parquet(f"{staged}/vertices")
-    kept = spark.read.parquet(f"{staged}/vertices")
-    indexed = index_edges(edges, kept)
-    ordered = indexed.select("source_id", "destination_id", *EDGE_PROPERTIES).repartitionByRange("source_id").sortWithinPartitions("source_id", "destination_id")
-    ordered.write.option("maxRecordsPerFile", EDGES_PER_FILE).parquet(f"{staged}/edges")
+    vertices = vertex_index(edges).withColumn("chunk", _chunk("vertex_id", chunk))
+    vertices.repartitionByRange("vertex_id").sortWithinPartitions("vertex_id").write.partitionBy("chunk").parquet(f"{staged}/vertices")
+    kept = spark.read.schema("entity_id string, vertex_id long, chunk long").parquet(f"{staged}/vertices")
+    indexed = index_edges(edges, kept.select("entity_id", "vertex_id")).select("source_id", "destination_id", *EDGE_PROPERTIES).withColumn("chunk", _chunk("source_id", chunk))
+    ordered = indexed.repartitionByRange("source_id", "destination_id").sortWithinPartitions("source_id", "destination_id")
+    ordered.write.option("maxRecordsPerFile", EDGES_PER_FILE).partitionBy("chunk").parquet(f"{staged}/edges")
+    written = spark.read.schema(_EDGES).parquet(f"{staged}/edges")
+    offsets = adjacency(kept, written, chunk)
+    offsets.repartitionByRange("vertex_id").sortWithinPartitions("vertex_id").write.partitionBy("chunk").parquet(f"{staged}/offsets")
     fields = projection.relation.fields
-    made = GraphSource(path, projection.relation.id, projection.relation.predicate, fields[0].name, fields[1].name, kept.count(), spark.read.parquet(f"{staged}/edges").count())
+    made = GraphSource(path, projection.relation.id, projection.relation.predicate, fields[0].name, fields[1].name, kept.count(), count, chunk)
     stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{staged}/graph.json"), False)
     stream.write(bytearray(made.metadata()))
     stream.close()
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
+    if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
         raise InvalidTable(f"{path} exists")
     return made
 
@@ -77,16 +84,17 @@ class PreparedGraph:
         described = json.loads(read_metadata(spark, path))
         if described["relation"] != projection.relation.id or described["predicate"] != projection.relation.predicate:
             raise RelationMismatch(described["predicate"])
-        vertices, edges = spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges").select("source_id", "destination_id", *EDGE_PROPERTIES)
-        if vertices.count() > max_vertices or edges.count() > max_edges:
+        vertices = spark.read.schema("entity_id string, vertex_id long, chunk long").parquet(f"{path}/vertices").select("entity_id", "vertex_id")
+        edges = spark.read.schema(_EDGES).parquet(f"{path}/edges").select("source_id", "destination_id", *EDGE_PROPERTIES)
+        if vertices.count() > max_vertices or edges.count() > max_edges:  # from the files' footers
             raise ResourceLimit("vertices or edges")
-        check_dense(vertices)
-        resolved = resolve_edges(edges, vertices)
-        check_resolved(resolved, "source", "destination")
-        check_edges(projection, resolved)
-        self.edges = resolved.persist()
+        # two jobs check all of it; the second leaves the joined edges behind for every later read
+        self.edges = resolve_edges(edges, vertices).persist()
+        if (check_dense(vertices), check_edges(projection, self.edges)) != (described["vertices"], described["edges"]):
+            self.close()
+            raise InvalidTable("not as many vertices and edges as described")
         self.facts = facts_from_edges(projection, self.edges)
-        self.source = GraphSource(path, described["relation"], described["predicate"], described["source_column"], described["target_column"], described["vertices"], described["edges"])
+        self.source = GraphSource(path, described["relation"], described["predicate"], described["source_column"], described["target_column"], described["vertices"], described["edges"], described["chunk"])
 
     def admit(self, projection: GraphProjection) -> DataFrame:
         """The facts, if they belong to ``projection``; storage is not read again."""
@@ -101,6 +109,11 @@ class PreparedGraph:
         self.edges.unpersist()
 
 
-def partition_neighbours(edges: DataFrame, vertex: int) -> DataFrame:
-    """The edges out of one vertex by dense id; the condition reaches the scan."""
-    return edges.where(F.col("source_id") == vertex)
+def read_offsets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("vertex_id long, offset long, degree long, chunk long").parquet(f"{path}/offsets")
+
+
+def partition_neighbours(spark: SparkSession, path: str, vertex: int) -> DataFrame:
+    """The edges out of one vertex by dense id; only its chunk's folder is opened and the condition reaches the scan."""
+    size = json.loads(read_metadata(spark, path))["chunk"]
+    return spark.read.schema(_EDGES).parquet(f"{path}/edges").where((F.col("chunk") == vertex // size) & (F.col("source_id") == vertex)).drop("chunk")

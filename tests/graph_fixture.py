@@ -1,4 +1,4 @@
-"""Scenarios, cases and profiles: a small two-hop property graph."""
+"""Writers, books and the shelves they stand on: a small two-hop property graph."""
 
 from quillgraph.catalog import EntityCatalog, RelationCatalog, Revision, SemanticSnapshot
 from quillgraph.functions.ids import typed_id
@@ -7,61 +7,61 @@ from quillgraph.plans.ir import Binary, CatalogQuery, Edge, Literal, Node, Path,
 from quillgraph.plans.limits import QueryLimits
 from quillgraph.types import ENTITY, STRING, EntitySchema, RelationField, RelationSchema
 
-LIMITS = QueryLimits(100, 1 << 20, 100, 300, 16 << 20)
+LIMITS = QueryLimits(500, 1 << 18, 64, 900, 4 << 20)
 
 
 def eid(name):
     return typed_id("entity", name)
 
 
-def _entity(label, prop):
-    return EntitySchema(typed_id("entity_type", label), label, (RelationField(prop, STRING, True),))
+def _entity(label, *properties):
+    return EntitySchema(typed_id("entity_type", label), label, tuple(RelationField(p, STRING, True) for p in properties))
 
 
-def _relation(name):
-    return RelationSchema(typed_id("relation", name), name, (RelationField("source", ENTITY), RelationField("target", ENTITY)))
+def _relation(name, a, b):
+    return RelationSchema(typed_id("relation", name), name, (RelationField(a, ENTITY), RelationField(b, ENTITY)))
 
 
-SCENARIO, CASE, PROFILE = _entity("Scenario", "identity"), _entity("Case", "id"), _entity("Profile", "identity")
-HAS_CASE, HAS_PROFILE = _relation("HAS_CASE"), _relation("HAS_EFFECTIVE_PROFILE")
-ENTITIES, RELATIONS = EntityCatalog([SCENARIO, CASE, PROFILE]), RelationCatalog([HAS_CASE, HAS_PROFILE])
-SNAPSHOT = SemanticSnapshot(typed_id("generation", "g1"), (Revision("git", "change:1", "commit:1"),))
+WRITER, BOOK, SHELF = _entity("Writer", "name", "country"), _entity("Book", "title"), _entity("Shelf", "code", "floor")
+WROTE, STANDS_ON = _relation("WROTE", "writer", "book"), _relation("STANDS_ON", "book", "shelf")
+ENTITIES, RELATIONS = EntityCatalog([WRITER, BOOK, SHELF]), RelationCatalog([WROTE, STANDS_ON])
+SNAPSHOT = SemanticSnapshot(typed_id("generation", "spring"), (Revision("ledger", "library", "page 7"),))
 ENTITY_ROWS = {
-    SCENARIO: [("s1", "healthcare"), ("s2", "other")],
-    CASE: [("c1", "one"), ("c2", "two"), ("c3", "other-case")],
-    PROFILE: [("p1", "shared"), ("p2", None)],
+    WRITER: [("w1", "Ada", "ie"), ("w2", "Bo", "se"), ("w3", "Cy", None)],
+    BOOK: [("b1", "Tides"), ("b2", "Moss"), ("b3", None), ("b4", "Tides"), ("b5", "Unread")],
+    SHELF: [("h1", "A1", "0"), ("h2", "B7", None)],
 }
+# b5 has no writer; b4 was entered on its shelf twice
 EDGE_ROWS = {
-    HAS_CASE: [("s1", "c1"), ("s1", "c2"), ("s2", "c3")],
-    HAS_PROFILE: [("c1", "p1"), ("c1", "p2"), ("c2", "p1"), ("c3", "p1")],
+    WROTE: [("w2", "b2"), ("w1", "b1"), ("w3", "b4"), ("w1", "b3"), ("w2", "b4")],
+    STANDS_ON: [("b4", "h1"), ("b1", "h2"), ("b2", "h1"), ("b1", "h1"), ("b3", "h2"), ("b4", "h1"), ("b5", "h2")],
 }
-SOURCE = "MATCH (s:Scenario)-[:HAS_CASE]->(c:Case)-[:HAS_EFFECTIVE_PROFILE]->(p:Profile) WHERE s.identity = 'healthcare' RETURN s.identity AS scenario, c.id AS case_id, p.identity AS profile"
+BOUND = 5 * 7
+SOURCE = "MATCH (w:Writer)-[:WROTE]->(b:Book)-[:STANDS_ON]->(h:Shelf) WHERE w.country = 'ie' RETURN w.name AS writer, b.title AS title, h.code AS shelf"
+EXPECTED = [("Ada", None, "B7"), ("Ada", "Tides", "A1"), ("Ada", "Tides", "B7")]
 
 
 def tables(spark, entity_rows=None, edge_rows=None):
     entities = [
-        EntityTable(schema, spark.createDataFrame([(eid(i), v) for i, v in rows], f"entity_id string, {schema.properties[0].name} string"))
+        EntityTable(schema, spark.createDataFrame([(eid(i), *v) for i, *v in rows], ", ".join(f"{c} string" for c in schema.columns)))
         for schema, rows in (ENTITY_ROWS | (entity_rows or {})).items()
     ]
     relations = [
-        RelationTable(schema, spark.createDataFrame([(eid(a), eid(b)) for a, b in rows], "source string, target string"))
+        RelationTable(schema, spark.createDataFrame([(eid(a), eid(b)) for a, b in rows], ", ".join(f"{f.name} string" for f in schema.fields)))
         for schema, rows in (EDGE_ROWS | (edge_rows or {})).items()
     ]
     return entities, relations
 
 
 def path():
-    nodes = tuple(Node(b, (s.id,)) for b, s in zip("scp", (SCENARIO, CASE, PROFILE)))
-    return Path(nodes, (Edge((HAS_CASE.id,)), Edge((HAS_PROFILE.id,))))
+    nodes = tuple(Node(b, (s.id,)) for b, s in zip("wbh", (WRITER, BOOK, SHELF)))
+    return Path(nodes, (Edge((WROTE.id,)), Edge((STANDS_ON.id,))))
 
 
-def query(value="healthcare", **changed):
+def query(value="ie", **changed):
     base = {
         "paths": (path(),),
-        "projections": tuple(Projection(Property(b, k), a) for b, k, a in (("s", "identity", "scenario"), ("c", "id", "case_id"), ("p", "identity", "profile"))),
-        "filters": (Binary(Property("s", "identity"), "=", Literal(value)),),
+        "projections": tuple(Projection(Property(b, k), a) for b, k, a in (("w", "name", "writer"), ("b", "title", "title"), ("h", "code", "shelf"))),
+        "filters": (Binary(Property("w", "country"), "=", Literal(value)),),
     }
     return CatalogQuery(Query(**(base | changed)), RELATIONS, ENTITIES, SNAPSHOT)
-
-
-EXPECTED = [("healthcare", "one", None), ("healthcare", "one", "shared"), ("healthcare", "two", "shared")]

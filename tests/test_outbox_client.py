@@ -65,7 +65,7 @@ def client(tmp_path, spark):
     return StaticEdgeClient(spark, FileStore(tmp_path / "l"), MemoryStore(), Outbox(tmp_path / "o"), "plan")
 
 
-EDGES = [("compile", "test"), ("test", "package")]
+EDGES = [("bake", "cool"), ("knead", "bake"), ("knead", "shape"), ("shape", "bake")]
 
 
 def test_client(client):
@@ -87,7 +87,7 @@ def test_requests_and_receipts(client):
     out = io.StringIO()
     assert main([], client, io.BytesIO(raw), out) == 0
     receipt = json.loads(out.getvalue())
-    assert check_receipt(receipt, raw)["edges"] == 2
+    assert check_receipt(receipt, raw)["edges"] == 4
     for bad in (receipt | {"x": 1}, receipt | {"request_sha256": "0"}, receipt | {"rows": [[1]]}):
         with pytest.raises(E.SchemaMismatch):
             check_receipt(bad, raw)
@@ -111,3 +111,14 @@ def test_plan_edges():
             plan_edges({"nodes": ["a", "b"], "edges": bad})
     with pytest.raises(E.ResourceLimit):
         plan_edges({"nodes": ["a", "b"], "edges": [edge("a", "b")] * 1025})
+
+
+def test_a_hung_request_is_given_up(client, monkeypatch):
+    raw = json.dumps({"operation": "sync"}).encode()
+    client.deadline = 0.2
+    monkeypatch.setattr(client, "sync_pending", lambda: __import__("threading").Event().wait(5))
+    with pytest.raises(E.TransferError, match="deadline"):
+        client.handle(raw)
+    client.deadline = 40.0
+    monkeypatch.undo()
+    assert client.handle(raw)["rows"] == [] and client.handle(raw)["result_sha256"] is None

@@ -3,7 +3,7 @@ from dataclasses import replace
 
 import pytest
 
-from graph_fixture import ENTITIES, HAS_CASE, RELATIONS, SNAPSHOT, SOURCE, path, query
+from graph_fixture import ENTITIES, RELATIONS, SNAPSHOT, SOURCE, WROTE, path, query
 from quillgraph import errors as E
 from quillgraph.functions.cid import cbor_cid
 from quillgraph.plans.binding import EngineProfile, admit_graph_metadata, admit_graph_source, bind_query, project_output, required_features
@@ -15,13 +15,13 @@ from quillgraph.sources.manifest import Manifest, TableDescriptor, snapshot_bloc
 def test_text_is_the_query():
     assert compile_source(SOURCE, RELATIONS, ENTITIES) == query().query
     assert compile_source(SOURCE + " ;", RELATIONS, ENTITIES, hashlib.sha256((SOURCE + " ;").encode()).hexdigest()) == query().query
-    q = compile_source("match (s:Scenario)-[:HAS_CASE]->(c:Case) where s.identity = 'it''s' and c.id = 'a\\'b' return c.id", RELATIONS, ENTITIES)
-    assert [f.right.value for f in q.filters] == ["it's", "a'b"] and q.projections[0].alias == "c.id"
+    q = compile_source("match (w:Writer)-[:WROTE]->(b:Book) where w.name = 'it''s' and b.title = 'a\\'b' return b.title", RELATIONS, ENTITIES)
+    assert [f.right.value for f in q.filters] == ["it's", "a'b"] and q.projections[0].alias == "b.title"
 
 
 @pytest.mark.parametrize(
     "text",
-    ["", "MATCH (s:Scenario) RETURN s.identity", SOURCE + " LIMIT 1", SOURCE.replace("->", "-"), SOURCE.replace("=", "<"), SOURCE.replace("Case)", "Nothing)"), SOURCE.replace(":HAS_CASE", "e:HAS_CASE"), SOURCE + "#"],
+    ["", "MATCH (w:Writer) RETURN w.name", SOURCE + " LIMIT 1", SOURCE.replace("->", "-"), SOURCE.replace("=", "<"), SOURCE.replace("Book)", "Nothing)"), SOURCE.replace(":WROTE", "e:WROTE"), SOURCE + "#"],
 )
 def test_other_text_is_refused(text):
     with pytest.raises(E.ParseError):
@@ -51,7 +51,7 @@ def test_binding():
 
 def test_features():
     p = path()
-    edge = lambda **k: Query((Path(p.nodes, (Edge((HAS_CASE.id,), **k), p.edges[1])),))
+    edge = lambda **k: Query((Path(p.nodes, (Edge((WROTE.id,), **k), p.edges[1])),))
     assert required_features(edge(max_hops=None)) == {"unbounded_path"}
     assert required_features(edge(max_hops=3)) == {"bounded_path"}
     assert required_features(edge(direction=ANY)) == {"undirected_path"}
@@ -69,9 +69,26 @@ def test_features():
 def test_graph_sources():
     meta = b"graph metadata"
     bound = bind_query(query(), _snapshot(graph=cbor_cid(meta)), EngineProfile("g", requires_graph_projection=True))
-    admit_graph_metadata(bound, HAS_CASE.id, meta)
-    for call in (lambda: admit_graph_metadata(bound, HAS_CASE.id, b"else"), lambda: admit_graph_source(bound, "other", cbor_cid(meta)), lambda: admit_graph_source(bound, HAS_CASE.id, cbor_cid(b"x"))):
+    admit_graph_metadata(bound, WROTE.id, meta)
+    for call in (lambda: admit_graph_metadata(bound, WROTE.id, b"else"), lambda: admit_graph_source(bound, "other", cbor_cid(meta)), lambda: admit_graph_source(bound, WROTE.id, cbor_cid(b"x"))):
         with pytest.raises(E.BindingError):
             call()
     with pytest.raises(E.BindingError):
         bind_query(query(), _snapshot(), EngineProfile("g", requires_graph_projection=True))
+
+
+def test_results_are_admitted_within_limits(spark):
+    from quillgraph.plans.binding import ResultLimits, admit_result, admit_rows
+
+    bound = bind_query(query(), _snapshot())
+    rows = spark.createDataFrame([("a", None, "x"), ("b", "t", "y")], "writer string, title string, shelf string").coalesce(1)
+    got = admit_result(project_output(bound, bound.engine, rows), ResultLimits(2, 6))
+    text = '["writer","title","shelf"]\n["a",null,"x"]\n["b","t","y"]\n'
+    assert got.rows == (("a", None, "x"), ("b", "t", "y")) and got.digest == hashlib.sha256(text.encode()).hexdigest()
+    for limits in (ResultLimits(1, 6), ResultLimits(2, 5), ResultLimits(0, 6), ResultLimits(2, 0)):
+        with pytest.raises(E.ResourceLimit):
+            admit_rows(rows, rows.columns, limits)
+    for other in (rows.select("title", "writer", "shelf"), rows.selectExpr("writer", "title", "1 AS shelf")):
+        with pytest.raises(E.InvalidTable):
+            admit_result(project_output(bound, bound.engine, other), ResultLimits(9, 99))
+    assert admit_rows(rows.orderBy("shelf"), rows.columns, ResultLimits(2, 6)).digest != admit_rows(rows.orderBy(rows.shelf.desc()), rows.columns, ResultLimits(2, 6)).digest

@@ -1,5 +1,6 @@
 import os
 import threading
+import time
 from dataclasses import replace
 
 import pyarrow as pa
@@ -205,9 +206,9 @@ def test_manifest(spark):
 
 def test_row_order_does_not_change_the_root(spark):
     one = materialize_snapshot(given(spark), MemoryStore())
-    flipped = {G.CASE: G.ENTITY_ROWS[G.CASE][::-1]}, {G.HAS_PROFILE: G.EDGE_ROWS[G.HAS_PROFILE][::-1]}
+    flipped = {k: v[::-1] for k, v in G.ENTITY_ROWS.items()}, {k: v[::-1] for k, v in G.EDGE_ROWS.items()}
     assert materialize_snapshot(given(spark, entity_rows=flipped[0], edge_rows=flipped[1]), MemoryStore()).cid == one.cid
-    assert materialize_snapshot(given(spark, entity_rows={G.CASE: [("c1", "uno"), ("c2", "two"), ("c3", "x")]}), MemoryStore()).cid != one.cid
+    assert materialize_snapshot(given(spark, entity_rows={G.SHELF: [("h1", "A1", "1"), ("h2", "B7", None)]}), MemoryStore()).cid != one.cid
 
 
 def test_producer_budgets(spark):
@@ -257,16 +258,16 @@ def test_child_variants(spark):
     """Wrong bytes, wrong row counts, nullable ids and compression under a consistent manifest."""
     store = MemoryStore()
     root = materialize_snapshot(given(spark), store)
-    scenario = next(t for t in root.manifest.entities if t.id == G.SCENARIO.id)
-    data = store.get(scenario.batches[0].cid, 1 << 20)
+    shelves = next(t for t in root.manifest.entities if t.id == G.SHELF.id)
+    data = store.get(shelves.batches[0].cid, 1 << 20)
     table = pa.ipc.open_stream(data).read_all()
     loose = table.cast(pa.schema([f.with_nullable(True) for f in table.schema], metadata=table.schema.metadata))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
         w.write_table(table)
     for child, rows in ((b"not Arrow IPC", 2), (data, 1), (ipc.write_stream(loose), 2), (sink.getvalue().to_pybytes(), 2)):
-        changed = replace(scenario, rows=rows, batches=(Batch(raw_cid(child), rows, len(child)),))
-        made = snapshot_block(replace(root.manifest, entities=tuple(changed if t == scenario else t for t in root.manifest.entities)))
+        changed = replace(shelves, rows=rows, batches=(Batch(raw_cid(child), rows, len(child)),))
+        made = snapshot_block(replace(root.manifest, entities=tuple(changed if t == shelves else t for t in root.manifest.entities)))
         store.put(raw_cid(child), child)
         store.put(made.cid, made.data)
         with pytest.raises(E.QuillError):
@@ -316,8 +317,81 @@ def test_transfer_ledger(spark):
 
 def test_entity_rows_need_not_be_collected_by_order(spark):
     """A table with a null in a required property is refused."""
-    strict = type(G.CASE)(G.CASE.id, "Case", tuple(replace(p, nullable=False) for p in G.CASE.properties))
-    source = given(spark, entity_rows={G.CASE: [("c1", None), ("c2", "x"), ("c3", "y")]})
-    tables = [EntityTable(strict, t.rows) if t.schema is G.CASE else t for t in source.entity_tables]
+    strict = type(G.BOOK)(G.BOOK.id, "Book", tuple(replace(p, nullable=False) for p in G.BOOK.properties))
+    source = given(spark)
+    tables = [EntityTable(strict, t.rows) if t.schema is G.BOOK else t for t in source.entity_tables]
     with pytest.raises(E.InvalidTable, match="required"):
         materialize_snapshot(replace(source, entity_tables=tables, entities=type(G.ENTITIES)([t.schema for t in tables])), MemoryStore())
+
+
+def test_sizes_are_refused_before_a_value_is_decoded(monkeypatch):
+    """Frames and declared lengths are enough: neither reader is opened."""
+    table = pa.table({"a": ["x" * 10] * 500, "b": [[1, 2, 3]] * 500}, schema=WANTED)
+    for write, read in ((ipc.write_file, ipc.read_file), (ipc.write_stream, ipc.read_stream)):
+        data = write(table)
+        with monkeypatch.context() as m:
+            for opened in ("open_file", "open_stream", "read_message"):
+                m.setattr(pa.ipc, opened, lambda *_: pytest.fail("decoded before its size was checked"))
+            for limits in (ipc.IpcLimits(max_rows=499), ipc.IpcLimits(max_values=2_499), ipc.IpcLimits(max_bytes=len(data) - 1)):
+                with pytest.raises(E.ResourceLimit):
+                    read(data, WANTED, limits)
+            for k in range(0, len(data) - 1, 61):
+                with pytest.raises((E.SchemaMismatch, pytest.fail.Exception)):
+                    read(data[:k], WANTED)
+        assert read(data, WANTED, ipc.IpcLimits(max_rows=500, max_values=2_500)).equals(table)
+
+
+def test_preflight_is_one_walk():
+    many = pa.table({"a": ["x"] * 20_000, "b": [None] * 20_000}, schema=WANTED)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WANTED) as w:
+        w.write_table(many, max_chunksize=1)
+    data = sink.getvalue().to_pybytes()
+    began = time.perf_counter()
+    assert len(ipc.frames(data)) == 20_001 and time.perf_counter() - began < 10
+
+
+def test_calls_end_for_their_caller():
+    going, ended = threading.Event(), threading.Event()
+
+    class Hung(MemoryStore):
+        def get(self, cid, most):
+            going.wait(20)
+            ended.set()
+            return b"late"
+
+    store = BlockingStore(Hung(), seconds=0.2)
+    with pytest.raises(E.ContentError, match="deadline"):
+        store.get(raw_cid(b"x"), 9)
+    with pytest.raises(E.ContentError, match="deadline"):  # the first job still holds the permit
+        store.get(raw_cid(b"x"), 9)
+    assert not ended.is_set()
+    going.set()
+    assert ended.wait(10) and store.get(raw_cid(b"x"), 9) == b"late"
+
+
+def test_remote_deadline_cap_and_race(tmp_path, spark, monkeypatch):
+    remote, cid = RemoteStore(spark, f"file://{tmp_path}", deadline=0.2), raw_cid(b"data")
+    monkeypatch.setattr(remote, "_read", lambda *_: threading.Event().wait(5))
+    with pytest.raises(E.ContentError, match="deadline"):
+        remote.get(cid, 10)
+    remote = RemoteStore(spark, f"file://{tmp_path}")
+    failures = []
+
+    def put():
+        try:
+            remote.put(cid, b"data")
+        except Exception as e:
+            failures.append(e)
+
+    threads = [threading.Thread(target=put) for _ in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failures and remote.get(cid, 4) == b"data" and [p for p in os.listdir(tmp_path / "blocks") if not p.endswith(".crc")] == [str(cid)]
+    (tmp_path / "blocks" / str(cid)).write_bytes(b"x" * (1 << 20))
+    (tmp_path / "blocks" / f".{cid}.crc").unlink(missing_ok=True)
+    assert len(remote._read(cid, 100)) == 101  # whatever is there, one byte more than may be read tells
+    with pytest.raises(E.ResourceLimit):
+        remote.get(cid, 100)
+    with pytest.raises(E.QuillError):
+        remote.put(cid, b"data")
