@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,65 +9,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.scratch import discard, folder, shared_dir, table_path
+
 #: Rows handed to Python at once, one number for all operators, so the order in which queries are built
 #: changes nothing; Spark bounds a batch's bytes besides.
 ARROW_ROWS = 512
-#: The six characters that separate words in every contract here.
-WORD_BREAKS = " \t\n\x0b\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set a local session gets a temporary folder; on a cluster, whose machines could not
-    read each other's, that is an error.
-    """
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def _folder(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver's JVM ends, if not before."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    target, files = _folder(spark, path)
-    files.mkdirs(target)  # a path must exist to be marked
-    files.deleteOnExit(target)
-    return path
+_written: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = table_path(df.sparkSession, name)
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether a job finished writing a table at ``path``."""
-    target, files = _folder(spark, f"{path}/_SUCCESS")
-    return files.exists(target)
-
+def run_stage(spark: SparkSession, name: str, make: Callable[[], DataFrame], resume: str | None = None) -> tuple[DataFrame, str]:
+    """The table that ``make`` gives, written and read again; what it wrote on the way is removed.
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove tables written by ``materialize`` that no later step reads."""
-    for path in paths:
-        target, files = _folder(spark, path)
-        files.delete(target, True)
+    With ``resume``, the name of a run, the table has a fixed place and stays, and one that an earlier driver
+    finished writing there is read instead of made again.
+    """
+    before = len(_written)
+    if resume is None:
+        table, path = materialize(make(), name)
+    else:
+        path = f"{shared_dir(spark)}/{resume}/{name}"
+        done, files = folder(spark, f"{path}/_SUCCESS")
+        if not files.exists(done):
+            make().write.mode("overwrite").parquet(path)
+        table = spark.read.parquet(path)
+    discard(spark, *(p for p in _written[before:] if p != path))
+    del _written[before:]
+    return table, path
 
 
-def without(df: DataFrame, key: str, gone: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+def without(df: DataFrame, key: str, gone: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
     """The rows of ``df`` whose ``key`` is not in ``gone`` (one column of distinct keys); a null key goes only
     if ``gone`` holds null. The keys are written and counted: up to ``max_broadcast`` are broadcast, so no
     text is shuffled; more are joined by shuffling."""

@@ -9,13 +9,15 @@ rightmost on ties, and each chosen hash is kept once with its position. Any pass
 A fingerprint is a list of (hash, position); as a string, 16 hex digits each: 8 of hash, 8 of position.
 Likeness is the Jaccard index of two fingerprints' hash sets, 1 for two empty ones.
 
-The successor of a document is the next by ``doc_id`` (nulls first, ties by text), the first one for
-the last. Documents are dealt into ranges of ``doc_id``; the first row of every range is also sent to
-the range before, so texts are shuffled once and no task sees more than its range. The range starts,
-one value per range, are all that reaches the driver.
+The successor of a document is the next by ``doc_id`` (nulls first, ties by the text's hash, then text),
+the first one for the last. Documents are dealt into ranges of that order; the first row of every range
+is also sent to the range before, so texts are shuffled once and no task sees more than its range. Ranges
+end at quantiles of the ids; an id (or null) with more rows than two ranges has a range of its own, cut
+into as many by the texts' hashes. The bounds, a few per range, are all that reaches the driver; rows
+find their range by two steps of the root of the number of bounds.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint; a single row is its own
-successor; repeated rows follow one another; an empty table gives an empty result; other columns are
+successor; repeated rows follow one another (in one range, as they are alike); an empty table gives an empty result; other columns are
 not read.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, mix64
+from .common import arrow_rows, documents, materialize, mix64
 
 K = 16
 W = 32
@@ -92,48 +94,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(ids: DataFrame, count: int) -> list:
-    """The first id of each of about ``count`` ranges of equal row numbers; None stands for nulls."""
-    cuts = ids.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 100 * count).alias("c")).first()["c"] or []
-    marks = sorted(set(cuts))
-    bucket = _bucket(F.col("id"), marks)
-    rows = ids.where("id IS NOT NULL").groupBy(bucket.alias("b")).agg(F.min("id").alias("first")).collect()
-    return sorted(r["first"] for r in rows)
-
-
-def _bucket(column, marks: list):
-    """How many of the ascending ``marks`` are at or below the column; 0 for nulls."""
-    if not marks:
+def _rank(column, bounds: list, strict: bool):
+    """How many of the ascending ``bounds`` are below the column, or equal unless ``strict``; 0 for nulls."""
+    if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(m) for m in marks])
-    return F.coalesce(F.size(F.filter(array, lambda m: m <= column)), F.lit(0))
+    width = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    passed = lambda m: (m < column) if strict else (m <= column)
+    array = lambda xs: F.array(*[F.lit(x) for x in xs])
+    coarse = F.size(F.filter(array([r[0] for r in runs]), passed))
+    run = F.get(F.array(*[array(r) for r in runs]), coarse - 1)
+    return F.coalesce((coarse - 1) * width + F.size(F.filter(run, passed)), F.lit(0))
+
+
+def _ranges(keys: DataFrame, count: int):
+    """For rows (id, h): a function that adds ``p``, the row's range, and ``starts``, whether the row sorts first
+    in it, and ``back``, the range before; about ``count`` ranges, told apart by what a few jobs over keys give."""
+    total = keys.count()
+    target = max(1, total // count)
+    cuts = keys.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 100 * count).alias("c")).first()["c"] or []
+    heavy = keys.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * target).select("id").collect()
+    hot = sorted(r["id"] for r in heavy)
+    marks = sorted({*cuts, *hot})
+    # 0 for nulls; a heavy id has a number of its own
+    place = F.when(F.col("id").isNull(), F.lit(0)).otherwise(1 + _rank(F.col("id"), marks, False) + _rank(F.col("id"), hot, True))
+    single = F.col("id").isNull() | F.coalesce(F.array_contains(F.array(*[F.lit(x) for x in hot]), F.col("id")), F.lit(False)) if hot else F.col("id").isNull()
+    sizes = keys.groupBy(place.alias("b"), single.alias("single")).agg(F.count(F.lit(1)).alias("n")).where("single").collect()
+    cut = {r["b"]: -(-r["n"] // target) for r in sizes if r["n"] > 2 * target}
+    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])[place], F.lit(1)) if cut else F.lit(1)
+    # hashes are even, so equal stretches of them hold about as many rows
+    sub = F.when(single, F.floor((F.shiftright("h", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53)) * parts)).otherwise(F.lit(0)).cast("int")
+    firsts = keys.groupBy(place.alias("b"), sub.alias("sub")).agg(F.min(F.struct(F.col("id"), F.col("h"))).alias("first"))
+    rows = sorted((r["b"], r["sub"], r["first"]["id"], r["first"]["h"]) for r in firsts.collect()) if total else []
+    table = [(b, k, i, rows_i[2], rows_i[3], (i - 1) % len(rows)) for i, rows_i in enumerate(rows) for b, k in [rows_i[:2]]]
+    kind = keys.schema["id"].dataType.simpleString()
+    known = F.broadcast(keys.sparkSession.createDataFrame(table, f"b int, sub int, p int, first_id {kind}, first_h long, back int"))
+
+    def deal(df: DataFrame) -> DataFrame:
+        dealt = df.withColumn("b", place.cast("int")).withColumn("sub", sub).join(known, ["b", "sub"])
+        return dealt.withColumn("starts", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).drop("b", "sub", "first_id", "first_h")
+
+    return deal
 
 
 def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = W, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses to that and to the next document's."""
     spark = df.sparkSession
     arrow_rows(spark)
-    narrow = df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    narrow = df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     count = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    firsts = _ranges(narrow.select("id"), count)
-    # bucket 0 holds nulls only, unless there are no ids at all
-    mine = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_bucket(F.col("id"), firsts))
-    has_nulls = bool(narrow.where("id IS NULL").limit(1).count())
-    buckets = [0] * has_nulls + list(range(1, len(firsts) + 1))
-    before = {b: buckets[i - 1] for i, b in enumerate(buckets)}
-    # every row of the least id of a range goes to the range before as well; only its first is used there
-    starts = F.array(*[F.lit(x) for x in firsts]) if firsts else None
-    is_start = F.lit(False) if starts is None else F.coalesce(F.array_contains(starts, F.col("id")), F.lit(False))
-    if has_nulls:
-        is_start = is_start | F.col("id").isNull()
-    back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("b")] if before else F.lit(0)
+    keys, _ = materialize(narrow.select("id", "h"), "keys")
+    deal = _ranges(keys, count)
+    here = F.struct(F.col("p"), F.lit(0).alias("copy"))
+    # every row alike to the first of a range goes to the range before as well; only one is used there
+    to = F.when(F.col("starts"), F.array(here, F.struct(F.col("back").alias("p"), F.lit(1).alias("copy")))).otherwise(F.array(here))
     dealt = (
-        narrow.withColumn("b", mine)
-        .withColumn("to", F.when(is_start, F.array(F.struct(F.col("b").alias("p"), F.lit(0).alias("copy")), F.struct(back.alias("p"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("b").alias("p"), F.lit(0).alias("copy")))))
-        .select("id", "t", F.explode("to").alias("to"))
-        .select("id", "t", "to.p", "to.copy")
+        deal(narrow)
+        .select("id", "t", "h", F.explode(to).alias("to"))
+        .select("id", "t", "to.p", "to.copy", "h")
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")
-        .sortWithinPartitions("p", "copy", F.col("id").asc_nulls_first(), "t")
+        .sortWithinPartitions("p", "copy", F.col("id").asc_nulls_first(), "h", "t")
     )
     kind = df.schema[key].dataType.simpleString()
 

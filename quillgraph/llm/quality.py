@@ -7,11 +7,14 @@ Sites: a source is a host and a language in it a path. Over all documents, each
 good evidence (its label where a document has one, else the classifier's probability). A host's rate is
 shrunk towards the global rate and a path's towards its host's, each as a beta posterior whose
 strength is estimated by moments from how far rates at that level spread beyond sampling noise; sparse
-sites stay near their prior. The posterior log-odds of a document are its classifier log-odds, less
-the log-odds of the training rate, plus those of its path. Documents at or above ``threshold`` are kept.
+sites stay near their prior. A document's prior leaves its own evidence out of all three sums, so
+nothing is counted twice. Its posterior log-odds are its classifier log-odds, less the log-odds of the
+training rate, plus those of its prior. Documents at or above ``threshold`` are kept.
 
-Sums are grouped before they are shuffled, one row per path and task, so a hot source is no hot task.
-The site table joins back by size: Spark broadcasts it only under its threshold, else splits hot keys.
+Every text is measured once; what follows works on the written scores. Sums are grouped before they are
+shuffled, one row per path and task, so a hot source is no hot task. Site sums and labels are counted
+and broadcast while there are at most ``max_broadcast`` of them, else joined by shuffling, where
+adaptive execution splits hot keys.
 
 Defined results: null texts are empty; empty texts get features of 0 and a probability like any other;
 a null source or language is a site of its own; without labels of both values the classifier is
@@ -88,23 +91,24 @@ class Logistic:
 
 
 def _labels(labels: DataFrame, key: str, label: str) -> DataFrame:
-    return labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("double")).alias("__y"))
+    return labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__qg_id")).agg(F.max(F.col(label).cast("double")).alias("__qg_y"))
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> Logistic:
     """Fit the classifier to at most ``max_labelled`` labelled documents; their ids are broadcast, no text is shuffled for them."""
     arrow_rows(df.sparkSession)
     known = _labels(labels, key, label)
-    known = some_rows(known, "__id", max_labelled // 2, known.count())
-    rows = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t")).join(F.broadcast(known), "__id")
+    known = some_rows(known, "__qg_id", max_labelled // 2, known.count())
+    rows = df.select(F.col(f"`{key}`").alias("__qg_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__qg_t")).join(F.broadcast(known), "__qg_id")
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    got = rows.select("__y", measure("__t").alias("x"), F.xxhash64("__id", "__t").alias("h")).limit(max_labelled).toPandas().sort_values("h")
-    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)  # in one order, so sums round alike
-    return Logistic(x, got["__y"].to_numpy(float))
+    # in one order, so that sums round alike and repeated ids cannot pass the bound at random
+    got = rows.select("__qg_y", measure("__qg_t").alias("x"), F.xxhash64("__qg_id", "__qg_t").alias("h")).orderBy("h").limit(max_labelled).toPandas()
+    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
+    return Logistic(x, got["__qg_y"].to_numpy(float))
 
 
 def _logit_column(df: DataFrame, model: Logistic, text: str):
@@ -122,11 +126,11 @@ def _site(column: str):
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c))
 
 
-def _strength(rates: DataFrame, mean, floor: float = 1.0, most: float = 1e4):
-    """Beta prior strength by moments: rates (k of n) around their prior means ``mean``."""
-    p = F.col("k") / F.col("n")
-    sums = rates.where("n > 0").agg(
-        F.sum(F.col("n") * F.pow(p - mean, 2)).alias("spread"), F.sum(mean * (1 - mean)).alias("noise"), F.sum(F.col("n") * mean * (1 - mean)).alias("weight"),
+def _strength(rates: DataFrame, good: str, count: str, mean, floor: float = 1.0, most: float = 1e4):
+    """Beta prior strength by moments: rates (``good`` of ``count``) around their prior means ``mean``."""
+    n = F.col(count)
+    sums = rates.where(n > 0).agg(
+        F.sum(n * F.pow(F.col(good) / n - mean, 2)).alias("spread"), F.sum(mean * (1 - mean)).alias("noise"), F.sum(n * mean * (1 - mean)).alias("weight"),
     )
     got = sums.first()
     if not got["weight"]:
@@ -135,47 +139,59 @@ def _strength(rates: DataFrame, mean, floor: float = 1.0, most: float = 1e4):
     return float(min(most, max(floor, 1 / share - 1))) if share > 0 else most
 
 
-def site_posteriors(scored: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(host, path, host_posterior, path_posterior) from ``scored`` (``key``, host, path, logit) and labels."""
-    p = 1 / (1 + F.exp(-F.col("logit")))
-    evidence = scored.join(_labels(labels, key, label), F.col(key) == F.col("__id"), "left").select("host", "path", F.coalesce("__y", p).alias("e"))
-    paths, _ = materialize(evidence.groupBy("host", "path").agg(F.sum("e").alias("k"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
-    overall = ((total["k"] or 0) + 0.5) / ((total["n"] or 0) + 1)
-    by_host = _strength(hosts, F.lit(overall))
-    hosts = hosts.select("host", ((F.col("k") + by_host * overall) / (F.col("n") + by_host)).alias("host_posterior"))
-    nested = paths.join(hosts, "host")
-    by_path = _strength(nested, F.col("host_posterior"))
-    return nested.select("host", "path", "host_posterior", ((F.col("k") + by_path * F.col("host_posterior")) / (F.col("n") + by_path)).alias("path_posterior"))
-
-
-def _judged(scored: DataFrame, sites: DataFrame, rate: float, threshold: float) -> DataFrame:
-    prior = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = F.col("logit") - F.lit(float(np.log(rate / (1 - rate)))) + F.log(prior / (1 - prior))
-    return scored.join(sites, ["host", "path"]).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("probability") >= threshold)
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def with_evidence(df: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, model: Logistic, label: str = "quality", max_broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` with __qg_host, __qg_path, __qg_logit and __qg_e, the evidence that it is good: its label, else the classifier's."""
+    known, _ = materialize(_labels(labels, key, label), "labels")
+    scored = df.withColumns({"__qg_host": _site(host), "__qg_path": _site(path), "__qg_logit": _logit_column(df, model, text)})
+    joined = scored.join(_few(known, max_broadcast), scored[key] == F.col("__qg_id"), "left")
+    return joined.withColumn("__qg_e", F.coalesce("__qg_y", 1 / (1 + F.exp(-F.col("__qg_logit"))))).drop("__qg_id", "__qg_y")
+
+
+def judge(scored: DataFrame, rate: float, threshold: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``scored`` (__qg_host, __qg_path, __qg_logit, __qg_e) with priors, probability and verdict, named likewise."""
+    paths, _ = materialize(scored.groupBy("__qg_host", "__qg_path").agg(F.sum("__qg_e").alias("__qg_k"), F.count(F.lit(1)).cast("double").alias("__qg_n")), "paths")
+    hosts = paths.groupBy("__qg_host").agg(F.sum("__qg_k").alias("__qg_hk"), F.sum("__qg_n").alias("__qg_hn"))
+    total = paths.agg(F.sum("__qg_k").alias("k"), F.sum("__qg_n").alias("n")).first()
+    k, n = total["k"] or 0.0, total["n"] or 0.0
+    overall = (k + 0.5) / (n + 1)
+    by_host = _strength(hosts, "__qg_hk", "__qg_hn", F.lit(overall))
+    sites, _ = materialize(paths.join(hosts, "__qg_host"), "sites")
+    by_path = _strength(sites, "__qg_k", "__qg_n", (F.col("__qg_hk") + by_host * overall) / (F.col("__qg_hn") + by_host))
+    # each level without the document itself
+    own = F.col("__qg_e")
+    whole = (k + 0.5 - own) / F.lit(max(n, 1.0))
+    at_host = (F.col("__qg_hk") - own + by_host * whole) / (F.col("__qg_hn") - 1 + by_host)
+    at_path = (F.col("__qg_k") - own + by_path * F.col("__qg_host_prior")) / (F.col("__qg_n") - 1 + by_path)
+    prior = F.least(F.greatest(F.col("__qg_path_prior"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.col("__qg_logit") - F.lit(float(np.log(rate / (1 - rate)))) + F.log(prior / (1 - prior))
+    return (
+        scored.join(_few(sites, max_broadcast), ["__qg_host", "__qg_path"]).withColumn("__qg_host_prior", at_host).withColumn("__qg_path_prior", at_path)
+        .withColumn("__qg_probability", 1 / (1 + F.exp(-odds))).withColumn("__qg_keep", F.col("__qg_probability") >= threshold)
+    )
 
 
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, **options) -> DataFrame:
-    """``key``, host, path, classifier logit, both site posteriors, probability and keep of every document."""
+    """``key``, host, path, classifier logit, both priors of the document, probability and keep."""
     model = fit(df, labels, key, text, **options)
-    scored, _ = materialize(df.select(F.col(f"`{key}`").alias(key), _site(host).alias("host"), _site(path).alias("path"), _logit_column(df, model, text).alias("logit")), "scored")
-    judged = _judged(scored, materialize(site_posteriors(scored, labels, key), "sites")[0], model.rate, threshold)
-    plain = lambda c: F.when(F.col(c) == "-", F.lit(None).cast("string")).otherwise(F.substring(c, 2, 1 << 30)).alias(c)
-    return judged.select(key, plain("host"), plain("path"), "logit", "host_posterior", "path_posterior", "probability", "keep")
+    names = [key, "__qg_host", "__qg_path", "__qg_logit", "__qg_e"]
+    scored, _ = materialize(with_evidence(df, labels, key, text, host, path, model).select(*names), "scored")
+    plain = lambda c: F.when(F.col(c) == "-", F.lit(None).cast("string")).otherwise(F.substring(c, 2, 1 << 30)).alias(c[5:])
+    return judge(scored, model.rate, threshold).select(
+        key, plain("__qg_host"), plain("__qg_path"), F.col("__qg_logit").alias("logit"), F.col("__qg_host_prior").alias("host_prior"), F.col("__qg_path_prior").alias("path_prior"),
+        F.col("__qg_probability").alias("probability"), F.col("__qg_keep").alias("keep"),
+    )
 
 
 def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents the classifier keeps, with their columns; texts are scored again, never shuffled."""
+    """The documents the classifier keeps, with their columns; they are written once with their scores."""
     model = fit(df, labels, key, text, **options)
-    scored, _ = materialize(df.select(F.col(f"`{key}`").alias(key), _site(host).alias("host"), _site(path).alias("path"), _logit_column(df, model, text).alias("logit")), "scored")
-    sites, _ = materialize(site_posteriors(scored, labels, key).toDF("__host", "__path", "__hp", "path_posterior"), "sites")
-    prior = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    # the least log-odds a document of the site needs
-    bar = float(np.log(threshold / (1 - threshold)) + np.log(model.rate / (1 - model.rate)))
-    sites = sites.select("__host", "__path", (F.lit(bar) - F.log(prior / (1 - prior))).alias("__bar"))
-    marked = df.withColumn("__logit", _logit_column(df, model, text)).join(sites, (_site(host) == F.col("__host")) & (_site(path) == F.col("__path")))
-    return marked.where("__logit >= __bar").select(*[F.col(f"`{c}`") for c in df.columns])
+    scored, _ = materialize(with_evidence(df, labels, key, text, host, path, model), "scored")
+    return judge(scored, model.rate, threshold).where("__qg_keep").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op7_quality(spark, sf_dir) -> DataFrame:

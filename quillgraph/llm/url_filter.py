@@ -5,22 +5,27 @@ starts with its path; of the fitting rules the longest wins (most host labels, t
 whether it allows or blocks. Host labels are walked from the top level down, path segments from the
 left; a rule whose path ends inside a segment is kept at the segment before as a partial segment.
 
+At most ``max_rules`` rules are broadcast as a trie. More go through a join instead, exactly: every url
+tries the pairs of a suffix of its host and a run of its leading path segments against the rules of that
+pair, and the longest that fits wins; only urls that fit a rule are shuffled back.
+
 Defined results: a null url or one without ``://`` has an empty host and path and no rule; a url no
 rule fits gets ``default``; repeated rows are judged alike; an empty table gives an empty result; other
 columns, whatever their names, are not read. Two rules for one host and path with different verdicts
-are an error. The trie is broadcast, so ``max_rules`` bounds it; more rules are an error.
+are an error. Time is linear in a url's length for a given set of rules.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, materialize
 
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -41,17 +46,23 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
+def _checked(rules: Iterable[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The distinct rules with their hosts lower-cased; unknown and contradictory verdicts are errors."""
+    verdicts: dict = {}
+    for verdict, host, path in rules:
+        if verdict not in ("allow", "block"):
+            raise ValueError(f"verdict {verdict!r}")
+        if verdicts.setdefault((host.translate(_LOWER), path), (verdict, host))[0] != verdict:
+            raise ValueError(f"two verdicts for {host}{path}")
+    return [(verdict, host, path) for (_, path), (verdict, host) in verdicts.items()]
+
+
 class UrlTrie:
-    """Host nodes are dicts of labels; a path node holds child segments and partial-segment rules."""
+    """Host nodes are dicts of labels; a path node holds child segments and partial-segment rules by length."""
 
-    def __init__(self, rules: Iterable[tuple[str, str, str]], max_rules: int = 100_000):
+    def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
-        rules = list(dict.fromkeys(rules))
-        if len(rules) > max_rules:
-            raise ValueError(f"{len(rules)} rules; at most {max_rules} may be broadcast")
-        for verdict, host, path in rules:
-            if verdict not in ("allow", "block"):
-                raise ValueError(f"verdict {verdict!r}")
+        for verdict, host, path in _checked(rules):
             node = self.root
             for label in reversed(host.translate(_LOWER).split(".")):
                 node = node.setdefault("labels", {}).setdefault(label, {})
@@ -59,18 +70,17 @@ class UrlTrie:
             *whole, partial = path.split("/")
             for segment in whole:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
-            if node.setdefault("partial", {}).setdefault(partial, (f"{host}{path}", verdict))[1] != verdict:
-                raise ValueError(f"two verdicts for {host}{path}")
+            node.setdefault("partial", {})[partial] = (f"{host}{path}", verdict)
+            node["lengths"] = sorted({*node.get("lengths", ()), len(partial)}, reverse=True)
 
     @staticmethod
     def _path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            if partial := node.get("partial"):
-                for n in range(len(segment), -1, -1):
-                    if hit := partial.get(segment[:n]):
-                        best = hit
-                        break
+            for n in node.get("lengths", ()):
+                if n <= len(segment) and (hit := node["partial"].get(segment[:n])):
+                    best = hit
+                    break
             node = node.get("segments", {}).get(segment)
             if node is None:
                 break
@@ -88,12 +98,41 @@ class UrlTrie:
         return best
 
 
+def _split_columns(url):
+    """Host and path of a url column, both empty without ``://``."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    return F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+
+
+def _join_rules(spark, narrow: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
+    """What the trie gives, by a join of (host suffix, leading segments)."""
+    keyed = [(h.translate(_LOWER), *p.rsplit("/", 1), f"{h}{p}", v) if "/" in p else (h.translate(_LOWER), None, p, f"{h}{p}", v) for v, h, p in rules]
+    table = spark.createDataFrame(keyed, "__h string, __lead string, __rest string, __rule string, __verdict string")
+    host, path = _split_columns(F.coalesce("__url", F.lit("")))
+    urls, _ = materialize(narrow.select(F.monotonically_increasing_id().alias("__row"), F.col("__key").alias("key"), host.alias("host"), path.alias("path")), "urls")
+    depths = table.select(F.size(F.split("__lead", "/")).alias("d")).agg(F.max("d")).first()[0] or 0
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
+    suffixes = urls.select("__row", "path", labels.alias("l"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("i"))
+    suffixes = suffixes.select("__row", "path", F.col("i").alias("n"), F.array_join(F.expr("slice(l, size(l) - i + 1, i)"), ".").alias("__h"))
+    suffixes = suffixes.join(table.select("__h").distinct(), "__h", "left_semi")  # hosts no rule names go early
+    leads = suffixes.select("__row", "path", "n", "__h", segments.alias("g"), F.explode(F.sequence(F.lit(0), F.least(F.size(segments) - 1, F.lit(depths)))).alias("k"))
+    leads = leads.select("__row", "n", "__h", F.when(F.col("k") > 0, F.array_join(F.expr("slice(g, 1, k)"), "/")).alias("__lead"), F.expr("get(g, k)").alias("s"))
+    fits = leads.join(table, leads["__h"].eqNullSafe(table["__h"]) & leads["__lead"].eqNullSafe(table["__lead"]) & F.startswith("s", "__rest"))
+    best = fits.groupBy("__row").agg(F.max(F.struct("n", F.length("__rule").alias("m"), "__rule", "__verdict")).alias("b"))
+    judged = urls.join(best, "__row", "left")
+    return judged.select("key", "host", "path", F.col("b.__rule").alias("rule"), F.coalesce("b.__verdict", F.lit(default)).alias("verdict"))
+
+
 def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, default: str = "allow", max_rules: int = 100_000) -> DataFrame:
     """``key``, host, path, rule and verdict for every row of ``df``."""
     spark = df.sparkSession
-    trie = spark.sparkContext.broadcast(UrlTrie(rules, max_rules))
-    arrow_rows(spark)
+    rules = _checked(rules)
     narrow = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{url}`").cast("string").alias("__url"))
+    if len(rules) > max_rules:
+        return _join_rules(spark, narrow, rules, default).withColumnRenamed("key", key)
+    trie = spark.sparkContext.broadcast(UrlTrie(rules))
+    arrow_rows(spark)
 
     def run(batches):
         judge = trie.value.judge

@@ -132,6 +132,42 @@ def test_mixing_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_mixed_texts_hold_what_is_taken(spark):
+    rng = random.Random(33)
+    texts = [None, "", "a  b\tc"] + [prose(rng, rng.randint(1, 300)) for _ in range(120)]
+    rows = [(i if i % 5 else None, t, "en", f"s{i % 4}", 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[10:14] * 3, SCHEMA).withColumnRenamed("n_chars", "begin")
+    got = mixing.mix_sources(df, shard_words=700, texts=True)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "taken"] and got.count() == df.count()
+    plain = sorted(map(tuple, mixing.mix_sources(df, shard_words=700).select("doc_id", "size").collect()), key=repr)
+    assert plain == sorted(map(tuple, got.select("doc_id", "size").collect()), key=repr)
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    known = {(r[0], len(words(r[1]))): Counter(words(r[1])) for r in rows}
+    for r in got.collect():
+        assert len(words(r["text"])) == r["taken"] and all(n <= 2 * known[r["doc_id"], r["size"]][w] for w, n in Counter(words(r["text"])).items() if r["doc_id"] is not None)
+
+
+def test_mixing_with_very_many_sources_and_hot_rows(spark):
+    n = 100_000
+    few = spark.range(n).select(col("id").alias("doc_id"), expr("repeat('w ', cast(1 + id % 5 as int))").alias("text"), expr("concat('s', id)").alias("source"))
+    hot = spark.range(30_000).select(lit(None).cast("long").alias("doc_id"), lit("one two three").alias("text"), lit("s7").alias("source"))
+    got = mixing.mix_sources(few.union(hot), block_words=2).agg(*[expr(f"sum({c})").alias(c) for c in ("size", "taken")], expr("count(*)").alias("n"), expr("max(taken - 2 * size)").alias("over")).first()
+    assert got["n"] == n + 30_000 and got["over"] <= 0 and abs(got["taken"] - 1.5 * got["size"]) < 0.02 * got["size"]
+
+
+def test_apportionment_of_any_number_of_rows(spark):
+    rng = random.Random(44)
+    weights = [float(rng.choice([0, 1, 1, 5, 5, 70, 1000])) for _ in range(400)]
+    rows = spark.createDataFrame([(f"r{i:03}", w) for i, w in enumerate(weights)], "r string, w double")
+    for seats in (0, 1, 37, 5000):
+        got = {r["r"]: r["quota"] for r in mixing.sainte_lague_all(rows, "r", "w", seats, sum(weights)).collect()}
+        won = Counter()
+        for _ in range(seats):
+            best = max(range(400), key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
+            won[best] += 1
+        assert got == {f"r{i:03}": won[i] for i in range(400)}
+
+
 def test_sainte_lague_by_sequence(spark):
     rng = random.Random(4)
     rows = [(g, f"r{i}", float(rng.randint(0, 1000)) if i else 90_000.0 * g) for g in range(3) for i in range(12)]
@@ -294,7 +330,7 @@ def test_quality(spark):
     got = {r["doc_id"]: r for r in quality.score_quality(df, labels).collect()}
     held = [i for i in truth if i % 2 == 0]
     assert sum(got[i]["keep"] == bool(truth[i]) for i in held) >= 0.97 * len(held)  # held-out accuracy
-    assert all(0 <= got[i][c] <= 1 for i in got for c in ("probability", "host_posterior", "path_posterior"))
+    assert all(0 <= got[i][c] <= 1 for i in got for c in ("probability", "host_prior", "path_prior"))
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
     assert quality.score_quality(docs(spark, []), labels).count() == 0
@@ -302,12 +338,55 @@ def test_quality(spark):
     assert all(r["logit"] == 0 for r in neutral)
 
 
+def plain_priors(rows):
+    """Priors of (host, path, evidence) rows by the formulas, each without the row itself."""
+    def strength(sites):
+        spread = sum(n * (k / n - m) ** 2 for k, n, m in sites)
+        noise = sum(m * (1 - m) for _, _, m in sites)
+        share = (spread - noise) / sum(n * m * (1 - m) for _, n, m in sites)
+        return min(1e4, max(1.0, 1 / share - 1)) if share > 0 else 1e4
+
+    k, n, hk, hn, pk, pn = 0.0, 0, Counter(), Counter(), Counter(), Counter()
+    for h, p, e in rows:
+        k, n = k + e, n + 1
+        hk[h] += e
+        hn[h] += 1
+        pk[h, p] += e
+        pn[h, p] += 1
+    overall = (k + 0.5) / (n + 1)
+    sh = strength([(hk[h], hn[h], overall) for h in hn])
+    sp = strength([(pk[x], pn[x], (hk[x[0]] + sh * overall) / (hn[x[0]] + sh)) for x in pn])
+    out = []
+    for h, p, e in rows:
+        host = (hk[h] - e + sh * (k + 0.5 - e) / n) / (hn[h] - 1 + sh)
+        out.append((host, (pk[h, p] - e + sp * host) / (pn[h, p] - 1 + sp)))
+    return out
+
+
+def test_priors_by_brute_force(spark):
+    rng = random.Random(61)
+    texts = [None, ""] + [junk(rng, i) if i % 7 == 0 else prose(rng, rng.randint(30, 120)).capitalize() for i in range(300)]
+    rows = [(i, t, None if i % 13 == 0 else f"l{i % 4}", None if i % 17 == 0 else f"s{min(i % 11, 5)}", "c", "c") for i, t in enumerate(texts)]
+    rows += rows[5:9] + [(None, "no id", "l1", "s1", "c", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, logit string, k string")
+    labels = spark.createDataFrame([(i, int(i % 7 != 2), 0) for i in range(0, 300, 3)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(df, labels).collect()
+    label = {i: float(i % 7 != 2) for i in range(3, 300, 3)} | {0: 1.0}
+    evidence = [(r["host"], r["path"], label.get(r["doc_id"], 1 / (1 + math.exp(-r["logit"])))) for r in got]
+    for r, (host, path) in zip(got, plain_priors(evidence)):
+        assert math.isclose(r["host_prior"], host, rel_tol=1e-9) and math.isclose(r["path_prior"], path, rel_tol=1e-9)
+    assert sorted((r["doc_id"], r["host"], r["path"]) for r in got if r["doc_id"] and r["host"] and r["path"]) == sorted((i, s, g) for i, _, g, s, _, _ in rows if i and s and g)
+    kept = quality.keep_good(df.withColumn("n", lit(1)).withColumn("__id", lit(1)), labels)
+    assert kept.columns == [*df.columns, "n", "__id"] and kept.count() == sum(r["keep"] for r in got)
+
+
 def test_sparse_sites_shrink(spark):
     rows = [(i, "h1", "p1", 9.0) for i in range(200)] + [(i, "h2", "p1", -9.0) for i in range(200, 400)] + [(400, "h1", "rare", -9.0), (401, "new", "p", 9.0)]
-    got = {(r["host"], r["path"]): r for r in quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, logit double"), spark.createDataFrame([], "doc_id long, quality int")).collect()}
-    assert got["h1", "p1"]["path_posterior"] > 0.95 and got["h2", "p1"]["path_posterior"] < 0.05
-    assert got["h1", "rare"]["path_posterior"] > 0.2  # one bad page in a good host
-    assert 0.4 < got["new", "p"]["host_posterior"] < 0.9
+    scored = spark.createDataFrame([(*r, 1 / (1 + math.exp(-r[3]))) for r in rows], "id long, __qg_host string, __qg_path string, __qg_logit double, __qg_e double")
+    got = {r["id"]: r for r in quality.judge(scored, 0.5).collect()}
+    assert got[0]["__qg_path_prior"] > 0.95 and got[300]["__qg_path_prior"] < 0.05
+    assert got[400]["__qg_path_prior"] > 0.5  # one bad page in a good host, seen without itself
+    assert math.isclose(got[401]["__qg_path_prior"], (200.5) / 402, rel_tol=0.02)
 
 
 # op 9

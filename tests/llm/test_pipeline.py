@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against what each stage promises."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -31,7 +32,33 @@ def test_stages_in_order(spark):
     safe = cp.personal_data(spark, clean, SF)
     assert {(r["doc_id"], r["text"]) for r in safe.collect()} == {(r["doc_id"], redact(r["text"])) for r in clean.collect()}
     got = cp.run(spark, SF)
-    assert {r["doc_id"] for r in got.collect()} == firsts - leaked and set(got.columns) >= {"doc_id", "size", "taken"}
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == firsts - leaked and got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    assert all(len([w for w in re.split("[\x20\x09-\x0d]+", r["text"]) if w]) == r["taken"] for r in rows) and sum(r["taken"] for r in rows) > 0
+
+
+def test_a_named_run_resumes(spark, monkeypatch):
+    import uuid
+
+    import corpus_pipeline as cp
+
+    ran, name = [], f"run-{uuid.uuid4().hex}"
+
+    def stage(k):
+        def go(spark, docs, sf_dir):
+            ran.append(k)
+            if k == "b" and ran.count("b") == 1:
+                raise RuntimeError("the driver is lost")
+            return docs.where("doc_id % 2 = 0") if k == "a" else docs
+
+        return k, go
+
+    monkeypatch.setattr(cp, "STAGES", [stage(k) for k in "abc"])
+    with pytest.raises(RuntimeError):
+        cp.run(spark, SF, resume=name)
+    n = cp.run(spark, SF, resume=name).count()
+    assert ran == ["a", "b", "b", "c"] and n > 0
+    assert cp.run(spark, SF).count() == n and ran[-3:] == ["a", "b", "c"]
 
 
 def test_registry_is_complete():
