@@ -1,16 +1,17 @@
 """The corpus pipeline: quality, near duplicates, contamination, personal data and the source mix.
 
 Each stage works on all that the one before kept and is written to the shared folder before the next
-reads it, so a lost executor costs at most one stage's work. Every stage but the last returns the columns
-of ``documents``. A null id is never dropped as a duplicate; rows that repeat one id stay or go together.
+reads it, so a lost executor costs at most one stage's work, and a named run that lost its driver resumes
+after its last finished stage. Every stage but the last returns the columns of ``documents``; the last adds
+each document's size, its source's size and target and the words taken, and its text is what the mix takes of
+it. A null id is never dropped as a duplicate; rows that repeat one id stay or go together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents, materialize
+from quillgraph.llm.common import discard, documents, run_stage, without
 from quillgraph.llm.decontaminate import drop_contaminated
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.ngram_join import jaccard_components
@@ -25,8 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
-    extra = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__extra"))
-    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+    return without(docs, "doc_id", jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mix_sources(docs)
+    """What the mix takes of each document, and how many words that is; none of some documents."""
+    return mix_sources(docs, texts=True)
 
 
 STAGES = [
@@ -56,9 +56,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = documents(spark, sf_dir)
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """All stages over ``documents``, each written and read again; ``resume`` names a run that may be taken up again."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = run_stage(spark, f"stage-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), resume)
+        if last and resume is None:
+            discard(spark, last)
+        last = path
     return docs
