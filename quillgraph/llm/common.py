@@ -51,9 +51,9 @@ def without(df: DataFrame, key: str, gone: DataFrame, max_broadcast: int = 500_0
     """The rows of ``df`` whose ``key`` is not in ``gone`` (one column of distinct keys); a null key goes only
     if ``gone`` holds null. The keys are written and counted: up to ``max_broadcast`` are broadcast, so no
     text is shuffled; more are joined by shuffling."""
-    gone, _ = materialize(gone.toDF("__gone"), "gone")
+    gone, _ = materialize(gone.toDF("__qg_gone"), "gone")
     gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return df.join(gone, df[key].eqNullSafe(F.col("__gone")), "left_anti")
+    return df.join(gone, df[key].eqNullSafe(F.col("__qg_gone")), "left_anti")
 
 
 def arrow_rows(spark: SparkSession) -> None:

@@ -192,8 +192,9 @@ def mix_sources(
     part = lambda b: F.slice("__words", (F.greatest(begin, b * block_words) - begin + 1).cast("int"), has(b).cast("int"))
     mixed = F.concat(F.flatten(F.array_repeat(F.col("__words"), rounds.cast("int"))), F.flatten(F.transform(F.filter(within, first), part)))
     mixed = F.when(F.col("size") > 0, F.array_join(mixed, " ")).otherwise(F.lit(""))
-    columns = [(mixed if c == text else F.col(f"__c_{i}")).alias(c) for i, c in enumerate(df.columns)]
-    return found.withColumn("__words", words).select(*columns, "size", "source_size", "target", "taken")
+    added = ["size", "source_size", "target", "taken"]  # these win over columns of their names
+    columns = [(mixed if c == text else F.col(f"__c_{i}")).alias(c) for i, c in enumerate(df.columns) if c not in added]
+    return found.withColumn("__words", words).select(*columns, *added)
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import col, expr, lit
 
-from quillgraph.llm import common, fingerprint, lm_score, mixing, ngram_join, quality, warc
+from quillgraph.llm import common, fingerprint, lm_score, mixing, ngram_join, pii, quality, warc
 from quillgraph.llm import decontaminate
 from quillgraph.llm.decontaminate import drop_contaminated, find_overlaps
 
@@ -242,6 +242,18 @@ def test_lm_is_normalised():
     assert p[np.arange(40), 0, (np.arange(40) + 1) % 40].mean() > 1 / 40
 
 
+def test_extra_columns_never_clash(spark):
+    rng = random.Random(12)
+    plain = docs(spark, [None, ""] + [prose(rng, 30) for _ in range(30)])
+    names = ["id", "t", "h", "j", "size", "sk", "shard", "part", "target", "taken", "begin", "n", "held_out", "named", "row", "weight", "seats", "spans", "words", "at", "seed"]
+    wide = plain.withColumns({c: lit(f"extra {c}") for c in names})
+    for op in (mixing.mix_sources, lambda df: lm_score.score_texts(df, symbols=90), pii.find_pii):
+        assert sorted(map(tuple, op(wide).collect()), key=repr) == sorted(map(tuple, op(plain).collect()), key=repr)
+    mixed = mixing.mix_sources(wide, texts=True)
+    assert len({*mixed.columns}) == len(mixed.columns) and {r["size"] for r in mixed.collect()} == {0, 30}
+    assert pii.redact_pii(wide).columns == wide.columns
+
+
 # op 6
 
 SEPARATOR = "\r\n\r\nWARC/1.1\r\n"
@@ -523,7 +535,7 @@ def test_jaccard_components(spark, hot):
         for j in rng.sample(range(len(words)), k % 5):
             words[j] = f"edit{rng.randint(0, 3)}"
         texts += [" ".join(words), passage + " " + prose(rng, 40 + k)]
-    got = ngram_join.jaccard_components(docs(spark, texts), hot=hot, salts=3)
+    got = ngram_join.jaccard_components(docs(spark, texts), hot=hot, salts=3, list_rows=3 if hot == 2 else 256)
     assert sorted(map(tuple, got.collect())) == plain_components(texts)
 
 
@@ -535,7 +547,8 @@ def test_jaccard_edges(spark):
     assert got == [(5, 2, 5), (5, 2, 5), (9, 2, 5), (None, 2, None)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("many", [1, 1_000_000])
+def test_components_of_chains_and_stars(spark, many):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 300), (300, 200)]
-    got = dict(map(tuple, ngram_join.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, ngram_join.connected_components(spark.createDataFrame(edges, "a long, b long"), many).collect()))
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[300] == got[200] == 200
