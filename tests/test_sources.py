@@ -395,3 +395,15 @@ def test_remote_deadline_cap_and_race(tmp_path, spark, monkeypatch):
         remote.get(cid, 100)
     with pytest.raises(E.QuillError):
         remote.put(cid, b"data")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from quillgraph.sources.scratch import shared_dir
+
+    nothing = N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True)))
+    context = lambda **conf: N(sparkContext=N(getConf=lambda: conf, master="spark://head:7077", _jsc=nothing))
+    assert shared_dir(context(**{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(context())
