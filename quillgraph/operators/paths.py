@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import InvalidIdentity, InvalidRelationSchema, InvalidTable, RelationMismatch, ResourceLimit, UnsupportedShape
+from ..errors import CatalogMismatch, InvalidIdentity, InvalidRelationSchema, InvalidTable, RelationMismatch, ResourceLimit, UnsupportedShape
 from ..functions.ids import is_id
 from ..plans.ir import OUT, Binary, CatalogQuery, Edge, Endpoint, Literal, Node, Path, Property, Query
 from ..plans.limits import UNBOUNDED, QueryLimits, join_bound
@@ -127,13 +127,36 @@ def _entity(node: Node, entities: list[EntityTable]) -> EntityTable:
     raise InvalidTable(f"no table of type {node.types[0]}")
 
 
+@dataclass(frozen=True)
+class AdmittedTables:
+    """Tables that passed validation once, with the rows of every relation; any number of queries may follow."""
+
+    entities: list[EntityTable]
+    relations: list[RelationTable]
+    counts: dict[str, int]
+    entity_digest: str
+    relation_digest: str
+
+
+def admit_tables(entities: list[EntityTable], relations: list[RelationTable], limits: QueryLimits, entity_digest: str, relation_digest: str) -> AdmittedTables:
+    return AdmittedTables(entities, relations, validate_tables(entities, relations, limits, entity_digest, relation_digest), entity_digest, relation_digest)
+
+
 def property_path(query: CatalogQuery, entities: list[EntityTable], relations: list[RelationTable], limits: QueryLimits = UNBOUNDED, ordered: bool = True) -> PathRows:
     """String properties of the nodes of a one- or two-hop path, sorted ascending with nulls first.
 
     Tables are validated and all budgets checked before the plan is built. ``ordered=False`` leaves out
     the final sort, for callers that compare bags or write the rows on.
     """
-    counts = validate_tables(entities, relations, limits, query.entities.digest, query.relations.digest)
+    return admitted_path(query, admit_tables(entities, relations, limits, query.entities.digest, query.relations.digest), limits, ordered)
+
+
+def admitted_path(query: CatalogQuery, admitted: AdmittedTables, limits: QueryLimits = UNBOUNDED, ordered: bool = True) -> PathRows:
+    """As ``property_path``, over tables whose validation is reused; they must be those of the query's catalogs."""
+    limits.check_nonzero()
+    if (query.entities.digest, query.relations.digest) != (admitted.entity_digest, admitted.relation_digest):
+        raise CatalogMismatch("tables admitted for other catalogs")
+    entities, relations, counts = admitted.entities, admitted.relations, admitted.counts
     ir = query.query
     path = _one_path(ir, 2)
     kinds = [_edge_type(e, named=False) for e in path.edges]

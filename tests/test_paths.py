@@ -7,7 +7,7 @@ from quillgraph import errors as E
 from quillgraph.catalog import EntityCatalog
 from quillgraph.functions.ids import typed_id, typed_id_column
 from quillgraph.operators import validate
-from quillgraph.operators.paths import one_hop, property_path, with_position
+from quillgraph.operators.paths import admit_tables, admitted_path, one_hop, property_path, with_position
 from quillgraph.operators.tables import EntityTable, RelationTable
 from quillgraph.plans.ir import ANY, IN, Binary, Edge, Endpoint, Literal, Node, Path, Projection, Property, Query
 from quillgraph.types import ENTITY, EntitySchema, RelationField, RelationSchema
@@ -83,6 +83,19 @@ def test_what_validation_finds(spark):
     assert [got[f"rows_{i}"] for i in range(5)] == [3, 5, 2, 5, 7] and (got["most_times"], got["least_times"], got["null_ids"]) == (1, 1, 0)
 
 
+def test_tables_are_validated_once_for_many_queries(spark, monkeypatch):
+    q, jobs = query(), []
+    facts = validate.input_facts
+    monkeypatch.setattr(validate, "input_facts", lambda *a: jobs.append(1) or facts(*a))
+    admitted = admit_tables(*tables(spark), LIMITS, q.entities.digest, q.relations.digest)
+    assert [tuple(r) for r in admitted_path(q, admitted, LIMITS).rows.collect()] == EXPECTED
+    assert admitted_path(query("se"), admitted, LIMITS).rows.count() == 3 and len(jobs) == 1
+    with pytest.raises(E.ResourceLimit):
+        admitted_path(q, admitted, replace(LIMITS, max_join_rows=BOUND - 1))
+    with pytest.raises(E.CatalogMismatch):
+        admitted_path(replace(q, entities=EntityCatalog([BOOK])), admitted, LIMITS)
+
+
 def test_wrong_type_endpoint_gives_no_row(spark):
     assert rows(spark, edge_rows={WROTE: [("w1", "h1")]}) == []
 
