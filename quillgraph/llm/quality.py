@@ -144,7 +144,7 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def with_evidence(df: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, model: Logistic, label: str = "quality", max_broadcast: int = 1_000_000) -> DataFrame:
+def with_evidence(df: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, model: Logistic, label: str = "quality", max_broadcast: int = 200_000) -> DataFrame:
     """``df`` with __qg_host, __qg_path, __qg_logit and __qg_e, the evidence that it is good: its label, else the classifier's."""
     known, _ = materialize(_labels(labels, key, label), "labels")
     scored = df.withColumns({"__qg_host": _site(host), "__qg_path": _site(path), "__qg_logit": _logit_column(df, model, text)})
@@ -152,7 +152,7 @@ def with_evidence(df: DataFrame, labels: DataFrame, key: str, text: str, host: s
     return joined.withColumn("__qg_e", F.coalesce("__qg_y", 1 / (1 + F.exp(-F.col("__qg_logit"))))).drop("__qg_id", "__qg_y")
 
 
-def judge(scored: DataFrame, rate: float, threshold: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
+def judge(scored: DataFrame, rate: float, threshold: float = 0.5, max_broadcast: int = 200_000) -> DataFrame:
     """``scored`` (__qg_host, __qg_path, __qg_logit, __qg_e) with priors, probability and verdict, named likewise."""
     paths, _ = materialize(scored.groupBy("__qg_host", "__qg_path").agg(F.sum("__qg_e").alias("__qg_k"), F.count(F.lit(1)).cast("double").alias("__qg_n")), "paths")
     hosts = paths.groupBy("__qg_host").agg(F.sum("__qg_k").alias("__qg_hk"), F.sum("__qg_n").alias("__qg_hn"))

@@ -45,9 +45,18 @@ def test_words_are_split_at_six_characters_only():
 # op 2
 
 
+def plain_gram(gram):
+    """The polynomial of one gram by Horner's rule, with whole numbers."""
+    h, whole = 0, (1 << 64) - 1
+    for c in gram:
+        h = (h * 0x5851F42D4C957F2D + ord(c) + 1) & whole
+    for shift, factor in ((31, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F), (32, 1)):
+        h = (h ^ h >> shift) * factor & whole
+    return h >> 32
+
+
 def plain_winnow(text, k=fingerprint.K, w=fingerprint.W):
-    grams = [fingerprint.winnow(text[i : i + k]) for i in range(max(1, len(text) - k + 1))] if text else []
-    values = [int(g[0] >> np.uint64(32)) for g in grams]
+    values = [plain_gram(text[i : i + k]) for i in range(max(1, len(text) - k + 1))] if text else []
     chosen = set()
     w = min(w, len(values))
     for i in range(len(values) - w + 1 if values else 0):
