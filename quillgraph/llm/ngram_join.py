@@ -43,6 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 _BITS = 1024
 _FIRST = 16
+_SPREAD = 8
 
 
 def _digest(*parts: bytes) -> int:
@@ -276,7 +277,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("i", shared).where(100 * F.col("i") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A written table of narrow rows, broadcast if it has at most ``most`` of them."""
     return F.broadcast(df) if df.count() <= most else df
 
@@ -322,9 +323,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
     tops = lists.where("salt >= 0").withColumn("band", band).withColumn("k", F.row_number().over(heads)).where("k = 1").select("gid", "n", "rare", "s")
     near = _neighbours(lists, ["s", "salt"]).union(_neighbours(tops, ["s"])).distinct()
     groups = table.where("gid IS NOT NULL").groupBy("gid").agg(F.min("cls").alias("rep"), F.max("cls").alias("top"))
-    reps = groups.select("gid", "rep")
+    # a central group has very many pairs: its representative is sent to several tasks, its pairs are dealt among them
+    spread_out = F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1)))
+    reps = groups.select("gid", "rep", spread_out.alias("k"))
+    dealt = lambda other: F.pmod(F.xxhash64(other), F.lit(_SPREAD)).cast("int").alias("k")
+    by_rep = near.select("a", "b", dealt("b")).join(reps.toDF("a", "ra", "k"), ["a", "k"]).select("ra", "b", dealt("ra")).join(reps.toDF("b", "rb", "k"), ["b", "k"])
     pairs = (
-        near.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(*_ordered(F.col("ra"), F.col("rb")))
+        by_rep.select(*_ordered(F.col("ra"), F.col("rb")))
         .union(table.join(groups.where("rep <> top"), "gid").where("cls <> rep").select(*_ordered(F.col("cls"), F.col("rep"))))
         .distinct()
     )
