@@ -187,11 +187,18 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     )
 
 
-def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents the classifier keeps, with their columns; they are written once with their scores."""
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, max_broadcast: int = 500_000, **options) -> DataFrame:
+    """The documents the classifier keeps, with their columns. Scores are written without the texts, under the
+    key and a hash of the site and text, so rows alike in these are judged alike; those rejected are
+    broadcast if there are few enough, and no text is shuffled then."""
     model = fit(df, labels, key, text, **options)
-    scored, _ = materialize(with_evidence(df, labels, key, text, host, path, model), "scored")
-    return judge(scored, model.rate, threshold).where("__qg_keep").select(*[F.col(f"`{c}`") for c in df.columns])
+    told = F.xxhash64(_site(host), _site(path), F.col(f"`{text}`"))
+    names = [F.col(f"`{key}`").alias("__qg_key"), "__qg_hash", "__qg_host", "__qg_path", "__qg_logit", "__qg_e"]
+    scored, _ = materialize(with_evidence(df.withColumn("__qg_hash", told), labels, key, text, host, path, model).select(*names), "scored")
+    bad, _ = materialize(judge(scored, model.rate, threshold).where("NOT __qg_keep").select("__qg_key", F.col("__qg_hash").alias("__qg_bad")).distinct(), "rejected")
+    bad = _few(bad, max_broadcast)
+    kept = df.withColumn("__qg_hash", told).join(bad, df[key].eqNullSafe(F.col("__qg_key")) & (F.col("__qg_hash") == F.col("__qg_bad")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op7_quality(spark, sf_dir) -> DataFrame:
