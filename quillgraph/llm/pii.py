@@ -107,11 +107,10 @@ _SIGNS = {"dot": ".", "point": ".", "plus": "+", "dash": "-", "hyphen": "-"}
 _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SIGN = r"(?:dot|point|plus|dash|hyphen)"
 _GAP = r"(?:[ \t\r\n]++|-|,[ \t]?)"
-_RUN = re.compile(rf"(?i)\b(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:{_SIGN}{_GAP})?(?:{_WORD}|[0-9]++)(?![A-Za-z0-9]))++", re.A)
+_RUN = re.compile(rf"(?i)\b(?=[zotfsenp])(?:plus{_GAP})?{_WORD}(?:{_GAP}(?:{_SIGN}{_GAP})?(?:{_WORD}|[0-9]++)(?![A-Za-z0-9]))++", re.A)
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
-# blanks around a bracket belong to it; a search begins only where a run of blanks does, so it stays linear
-_BRACKET_AT = re.compile(r"(?i)(?<![ \t])[ \t]*+(?:\[[ \t]*+(?:at|@)[ \t]*+\]|\([ \t]*+(?:at|@)[ \t]*+\)|\{[ \t]*+(?:at|@)[ \t]*+\}|<[ \t]*+(?:at|@)[ \t]*+>)[ \t]*+")
-_BRACKET_DOT = re.compile(r"(?i)(?<![ \t])[ \t]*+(?:\[[ \t]*+(?:dot|\.)[ \t]*+\]|\([ \t]*+(?:dot|\.)[ \t]*+\)|\{[ \t]*+(?:dot|\.)[ \t]*+\}|<[ \t]*+dot[ \t]*+>)[ \t]*+")
+_BRACKET = re.compile(r"[\[({<][ \t]*+(?:[aA][tT]|@|[dD][oO][tT]|\.)[ \t]*+[\])}>][ \t]*+")
+_CLOSES = {"[": "]", "(": ")", "{": "}", "<": ">"}
 #: Country codes, and generic top-level domains with many registrations.
 _COUNTRIES = (
     "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
@@ -127,7 +126,7 @@ _GENERIC = (
 _TOP = re.compile("(?i)(?:" + "|".join([*_COUNTRIES.split(), *_GENERIC.split(), "xn--[a-z0-9-]+"]) + ")")
 #: Fixed values: "at the dot in" is prose, "at example dot in" an address.
 _PROSE = re.compile(r"(?i)(?:an?|the|this|that|each|every|any|one|no|some|which|my|your|his|her|its|our|their)[ \t]dot[ \t](?!(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us)\b)")
-_BARE_AT = re.compile(r"(?i)[ \t]at[ \t]|@")
+_BARE_AT = re.compile(r"@|[ \t][aA][tT][ \t]")
 _BARE_DOT = re.compile(r"(?i)[ \t]dot[ \t]")
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
 _DOT = re.compile(r"(?i)\.|[ \t]dot[ \t]")
@@ -226,17 +225,28 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
 
 
 def _disguised(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)]
-    return sorted(edits)
+    """Edits for "at" and "dot" in brackets; blanks around them go too."""
+    edits, done = [], 0
+    for m in _BRACKET.finditer(text):
+        inside = m[0].rstrip(" \t")
+        word = inside[1:-1].strip(" \t").lower()
+        if _CLOSES[inside[0]] != inside[-1] or inside[0] == "<" and word == ".":
+            continue
+        begin = m.start()
+        while begin > done and text[begin - 1] in " \t":
+            begin -= 1
+        edits.append((begin, m.end(), "@" if word in ("at", "@") else "."))
+        done = m.end()
+    return edits
 
 
 def normalise(text: str) -> Tape | None:
     """The text after all transducers, or None where none of them has work."""
-    tape = Tape(text)
+    tape = None
     for find in (lambda t: [(m.start(), m.end(), _plain(m[0])) for m in _FOREIGN.finditer(t)], _spelled, _disguised, _bare):
-        if edits := find(tape.text):
-            tape = tape.rewrite(sorted(edits))
-    return tape if tape.text != text else None
+        if edits := find(tape.text if tape else text):
+            tape = (tape or Tape(text)).rewrite(sorted(edits))
+    return tape
 
 
 def all_spans(text: str) -> tuple[list, list]:
