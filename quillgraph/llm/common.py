@@ -19,12 +19,27 @@ ARROW_ROWS = 512
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = table_path(df.sparkSession, name)
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, release: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``release`` the shuffle files of the write go when it ends, and not when the driver next happens to
+    collect its garbage; ``df`` itself can still be run again.
+    """
+    spark = df.sparkSession
+    path = table_path(spark, name)
     _written.append(path)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    before = spark.conf.get(_RELEASE, "false")
+    if release:
+        spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if release:
+            spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def run_stage(spark: SparkSession, name: str, make: Callable[[], DataFrame], resume: str | None = None) -> tuple[DataFrame, str]:

@@ -4,8 +4,8 @@ A document's set holds its distinct five-word shingles (A-Z lower-cased; fewer w
 sequence), as 64-bit hashes. Two documents link when ``100 |A n B| >= 80 |A u B|``.
 
 1. Order. Shingles are ordered cold first by hash, then hot by rising count: a shingle is hot if it is
-   among the least 40 % of at least ``hot`` sets, or in as many sets of one class of sixteen by id (which
-   chooses an order, never a result). About ``max_hot`` hot ones are broadcast (16 bytes each). Any order gives right results; this one keeps shared passages out of prefixes.
+   among the least 40 % of at least four sets of one class of ``hot / 4`` by id and text, or in ``hot`` sets
+   of a quarter of that class (which chooses an order, never a result). About ``max_hot`` hot ones are broadcast (16 bytes each). Any order gives right results; this one keeps shared passages out of prefixes.
 2. Groups. Equal sets are one class (a 64-bit digest of the set, so two of n different sets are taken for
    one with probability n**2 / 2**65); classes with equal prefix, the first
    ``n - ceil(0.8 n) + 1`` shingles, and equal size are one group. Linked sets share a prefix shingle.
@@ -46,6 +46,11 @@ _FIRST = 16
 _SPREAD = 8
 
 
+def _step(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A step's table, without the shuffle files that led to it: those of all steps together need more disk than any step."""
+    return materialize(df, name, release=True)
+
+
 def _digest(*parts: bytes) -> int:
     h = hashlib.blake2b(digest_size=8)
     for p in parts:
@@ -65,9 +70,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and their ranks by rising count, of shingles in the low part of many sets, or
-    anywhere in many sets of one class of sixteen (by id): those may reach prefixes whose low part is hot."""
-    block = 1 << 20
+    """Hashes, ascending, and their ranks by rising count, of shingles in the low part of many sets of one
+    class of rows, or anywhere in many sets of a quarter of it: those may reach prefixes whose low part is hot.
+    Only the order follows from them, so the other classes' shingles are not counted."""
+    block, classes = 1 << 20, max(1, hot // 4)
     zeros = np.zeros
 
     def run(batches):
@@ -93,10 +99,11 @@ def hot_shingles(texts: DataFrame, hot: int, max_hot: int) -> tuple[np.ndarray,
         if size:
             yield flush()
 
-    chosen = texts.select("t", (F.pmod(F.xxhash64("id"), F.lit(16)) == 0).alias("whole"))
+    of = lambda n: F.pmod(F.xxhash64("id", "t"), F.lit(n)) == 0
+    chosen = texts.where(of(classes)).select("t", of(4 * classes).alias("whole"))
     counted = chosen.mapInArrow(run, "s long, n long, m long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    counted = counted.where((F.col("n") >= hot) | (F.col("m") >= hot)).select("s", (F.col("n") + 16 * F.col("m")).alias("c"))
-    counted, path = materialize(counted, "hot")
+    counted = counted.where((classes * F.col("n") >= hot) | (F.col("m") >= hot)).select("s", (F.col("n") + 4 * F.col("m")).alias("c"))
+    counted, path = _step(counted, "hot")
     top = most_frequent(counted, "s", "c", max_hot).toArrow()
     discard(texts.sparkSession, path)
     values = top["s"].to_numpy().view(np.uint64)
@@ -194,7 +201,7 @@ def connected_components(edges: DataFrame, many: int = 1_000_000) -> DataFrame:
     edges on, a node with a thousandth of them is a hub; there are at most 2,000.
     """
     spark = edges.sparkSession
-    now, path = materialize(edges.where("a <> b").select(*_ordered(F.col("a"), F.col("b"))).distinct(), "components")
+    now, path = _step(edges.where("a <> b").select(*_ordered(F.col("a"), F.col("b"))).distinct(), "components")
     mark, count = None, now.count()
     while True:
         hub = max(2, count // 1000) if count >= many else None
@@ -205,7 +212,7 @@ def connected_components(edges: DataFrame, many: int = 1_000_000) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         small = _with_least(large, low, "u", hub).select(F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("m").alias("a")), F.struct(F.col("v").alias("b"), F.col("m").alias("a")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
-        new, new_path = materialize(small, "components")
+        new, new_path = _step(small, "components")
         sums = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         discard(spark, path)
         now, path = new, new_path
@@ -225,7 +232,7 @@ class _Sets:
     def of(self, pairs: DataFrame) -> DataFrame:
         spark = pairs.sparkSession
         needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.firsts, "cls").select("id")
-        needed, path = materialize(needed, "needed")
+        needed, path = _step(needed, "needed")
         count = needed.count()
         size = 1 << min(26, max(12, (16 * count).bit_length()))
         slot = lambda: F.pmod(F.xxhash64("id"), F.lit(size))
@@ -248,7 +255,7 @@ class _Sets:
         # a repeated id may bring a class twice: classes are told apart by their first row
         first = Window.partitionBy("cls").orderBy("id")
         found = found.join(needed, "id", "left_semi").withColumn("k", F.row_number().over(first)).where("k = 1").select("cls", "set")
-        out, out_path = materialize(found, "sets")
+        out, out_path = _step(found, "sets")
         discard(spark, path)
         self.path = out_path
         return out
@@ -308,14 +315,14 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
     arrow_rows(spark)
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     shared = spark.sparkContext.broadcast(hot_shingles(texts, hot, max_hot))
-    table, _ = materialize(_prefixes(texts, shared), "prefixes")
+    table, _ = _step(_prefixes(texts, shared), "prefixes")
 
     colds = table.where(F.size("cold") > 0).select("gid", "n", "rare", F.explode("cold").alias("s"), F.lit(-1).alias("salt"))
     hots = table.where(F.size("hot") > 0).select("gid", "n", "rare", F.explode("hot").alias("s"), F.pmod("gid", F.lit(salts)).cast("int").alias("salt"))
     entries = colds.union(hots)
     listed = Window.partitionBy("s", "salt")
     shares = entries.select("gid", "n", "rare", "s", "salt", F.min("gid").over(listed).alias("lo"), F.max("gid").over(listed).alias("hi"))
-    lists, lists_path = materialize(shares.where("lo <> hi OR salt >= 0").select("gid", "n", "rare", "s", "salt").distinct(), "lists")
+    lists, lists_path = _step(shares.where("lo <> hi OR salt >= 0").select("gid", "n", "rare", "s", "salt").distinct(), "lists")
 
     # of each salted part, the most central of each size band
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
@@ -333,38 +340,38 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", h
         .union(table.join(groups.where("rep <> top"), "gid").where("cls <> rep").select(*_ordered(F.col("cls"), F.col("rep"))))
         .distinct()
     )
-    pairs, pairs_path = materialize(_bounded(pairs, table), "pairs")
+    pairs, pairs_path = _step(_bounded(pairs, table), "pairs")
     finder = _Sets(texts, table)
     sets = finder.of(pairs)
-    links, links_path = materialize(_verified(pairs, sets), "links")
+    links, links_path = _step(_verified(pairs, sets), "links")
     discard(spark, finder.path)
-    components, _ = materialize(connected_components(links), "component")
+    components, _ = _step(connected_components(links), "component")
 
     # second round: lists that are not yet one component, member by member
     members = table.where("gid IS NOT NULL").select("gid", "cls", "n").distinct()
     placed = members.join(components.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", F.coalesce("component", "cls").alias("c"))
-    placed, placed_path = materialize(placed, "placed")
-    spread, spread_path = materialize(placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
+    placed, placed_path = _step(placed, "placed")
+    spread, spread_path = _step(placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
     mixed = lists.join(_few(spread), "gid").groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("s")
-    mixed, mixed_path = materialize(mixed, "mixed")
+    mixed, mixed_path = _step(mixed, "mixed")
     inside = spread.where("lo <> hi").select("gid", F.col("gid").alias("s"))
     open_lists = lists.select("gid", "s").join(_few(mixed), "s", "left_semi").union(inside.select("gid", "s"))
-    open_lists, open_path = materialize(open_lists.join(placed, "gid").select("s", "cls", "c").distinct(), "open")
+    open_lists, open_path = _step(open_lists.join(placed, "gid").select("s", "cls", "c").distinct(), "open")
     firsts = open_lists.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("s")), 1, _FIRST).alias("firsts"))
     rows = open_lists.join(_facts(table).join(firsts, "cls"), "cls").select("s", "cls", "c", "n", "bits", "firsts")
     crossing = _crossing(rows, max(list_rows, open_lists.count() // 100_000), open_lists)
-    more, more_path = materialize(crossing.select("a", "b").distinct(), "pairs")
+    more, more_path = _step(crossing.select("a", "b").distinct(), "pairs")
     if more.limit(1).count():
         sets = finder.of(more)
-        found, found_path = materialize(_verified(more, sets), "links")
+        found, found_path = _step(_verified(more, sets), "links")
         discard(spark, finder.path)
         if found.limit(1).count():
-            components, _ = materialize(connected_components(links.union(found)), "component")
+            components, _ = _step(connected_components(links.union(found)), "component")
 
     least = table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"))
     labelled = least.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls"))
     ids = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
-    classes, _ = materialize(labelled.join(ids, "c").select("cls", "component_id"), "classes")
+    classes, _ = _step(labelled.join(ids, "c").select("cls", "component_id"), "classes")
     discard(spark, lists_path, pairs_path, links_path, placed_path, spread_path, mixed_path, open_path, more_path)
     out = table.select("id", "n", "cls").join(classes, "cls", "left")
     return out.select(

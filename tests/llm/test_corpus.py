@@ -556,6 +556,19 @@ def test_jaccard_edges(spark):
     assert got == [(5, 2, 5), (5, 2, 5), (9, 2, 5), (None, 2, None)]
 
 
+def test_shuffle_files_go_with_their_step(spark):
+    """A run must not hold the shuffle files of all its steps until the driver collects its garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(x.startswith("shuffle_") for x in disk.getAllBlocks().mkString(" ").split())
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rng, before, setting = random.Random(9), held(), spark.conf.get(key)
+    base = [prose(rng, 60) for _ in range(20)]
+    texts = docs(spark, [b + f" end{k}" for b in base for k in range(3)])
+    got = ngram_join.jaccard_components(texts)
+    assert held() - before < 20 and spark.conf.get(key) == setting
+    assert {tuple(r) for r in got.select("doc_id", "component_id").collect()} == {(i, i - i % 3) for i in range(60)}
+
+
 @pytest.mark.parametrize("many", [1, 1_000_000])
 def test_components_of_chains_and_stars(spark, many):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 300), (300, 200)]
